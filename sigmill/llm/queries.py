@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, packing, simhash, toxicity
+from . import chat, exact_dedup, media, mixing, packing, pii, repeats, simhash, toxicity
 from .common import table
 
 
@@ -40,11 +40,31 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.windows(turns.union(more)))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix_counts(texts(spark, sf_dir, "source"))
     return found.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(texts(spark, sf_dir))
+    said = lambda kinds: "array_join(transform(concat(" + ", ".join(kinds) + "), x -> concat(x.kind, ':', x.start, ':', x.end)), ',')"
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(F.expr(said(pii.BASE)).cast("binary"), 256).alias("base_sha256"), F.expr(said(pii.KINDS)).alias("spans"))
+
+
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(texts(spark, sf_dir))
+    removed = F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.start)")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
 

@@ -1,0 +1,85 @@
+import random
+import re
+
+from sigmill.llm import pii as P
+from sigmill.llm.queries import op8_pii
+
+from .helpers import DOCS, ODD, docs, got
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def ok(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m.split("."))
+    if kind == "card":
+        return 13 <= len(d) <= 19 and luhn(d)
+    return kind == "email" or 9 <= len(d) <= 15
+
+
+def brute(text):
+    return {k: [(m.start(), m.end()) for m in re.finditer(p, text or "") if ok(k, m[0])] for k, p in PLAIN.items()}
+
+
+def check(spark, texts):
+    rows = list(enumerate(texts))
+    for r in P.find(docs(spark, rows).withColumnRenamed("lang", "t").withColumnRenamed("source", "hits_ip")).collect():
+        want = brute(texts[r["doc_id"]])
+        for k in PLAIN:
+            assert [(s["start"], s["end"]) for s in r[k]] == want[k], (k, texts[r["doc_id"]][:200])
+
+
+def test_against_plain_patterns(spark):
+    rng = random.Random(1)
+    bits = ["a.b@c.de", "@", ".", "-", " ", "+", "1", "12", "255", "256", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "x", "é", "😀", "_", "%", "a@b.com_x@y.z", "10.0.0.1", "0001.2.3.4", "(", ")", "\n", "5500005555555559", "a@b", "..", "00"]
+    check(spark, ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(1500)])
+
+
+def test_long_texts_take_linear_time(spark):
+    n = 100_000
+    check(spark, ["7" * n, "a" * n, "1." * n, "a@" * n, "a." * n + "@", "+1" + " " * n, "1 " * n, "-1" * n])
+
+
+def test_odd_rows_and_empty_table(spark):
+    check(spark, [t for _, t in ODD])
+    assert P.find(docs(spark, ODD)).count() == len(ODD)
+    assert P.find(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_checksums_and_context(spark):
+    good, bad = "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33"
+    rows = {r["doc_id"]: r for r in P.find(docs(spark, [(1, f"my bank {good}."), (2, bad), (3, f"{good}"), (4, "DE89370400440532013000 ok"), (5, "write to a@b.cd"), (6, "a@b.cd")])).collect()}
+    assert [(s["start"], s["end"], round(s["score"], 6)) for s in rows[1]["iban"]] == [(8, 8 + len(good), 0.8)]
+    assert rows[2]["iban"] == [] and round(rows[3]["iban"][0]["score"], 6) == 0.7 and len(rows[4]["iban"]) == 1
+    assert round(rows[5]["email"][0]["score"], 6) == 1.0 and round(rows[6]["email"][0]["score"], 6) == 0.9
+
+
+def test_query(spark, tmp_path):
+    docs(spark, [(1, "a@b.cd and 10.0.0.1"), (2, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    r = {x["doc_id"]: x for x in op8_pii(spark, str(tmp_path)).collect()}
+    assert (r[1]["n_email"], r[1]["n_ip"], r[1]["n_card"], r[1]["n_phone"]) == (1, 1, 0, 0)
+    assert r[1]["spans"] == "email:0:6,ip:11:19" and r[2]["spans"] == ""
+    import hashlib
+
+    assert r[1]["base_sha256"] == hashlib.sha256(b"email:0:6,ip:11:19").hexdigest()
+
+
+def test_redact(spark):
+    d = docs(spark, [(1, "é a@b.cd, +1 555 010 9999!"), (2, None), (3, "none")]).withColumnRenamed("lang", "_spans")
+    out = P.redact(d)
+    assert out.columns == d.columns
+    assert got(out, "doc_id", "text") == [(1, "é <email>, <phone>!"), (2, None), (3, "none")]
