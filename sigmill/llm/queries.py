@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, media, mixing, packing, pii, repeats, simhash, toxicity
+from . import chat, exact_dedup, lines, media, mixing, packing, pii, repeats, simhash, toxicity
 from .common import table
 
 
@@ -40,6 +40,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(spark, sf_dir)
+    own = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    found = lines.later_matches(docs).withColumnRenamed("doc_id", "k")
+    found = own.join(found, own.doc_id.eqNullSafe(found.k), "left")
+    return found.select(
+        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
