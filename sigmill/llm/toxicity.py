@@ -52,7 +52,7 @@ class Model:
         for w, n in Counter(found).items():
             at = known.get(w)
             if at is None:
-                if len(known) > 1_000_000:
+                if len(known) > 200_000:
                     known.clear()
                 at = known[w] = tuple(self.place[f] for f in word_features(w) if f in self.place)
             for i in at:
