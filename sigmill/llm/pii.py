@@ -67,7 +67,7 @@ _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
 #: Matches folded at a time, so that a text with very many takes no quadratic time.
-FOLD = 256
+FOLD = 1024
 
 _LENGTH = "char_length(x.part) + char_length(x.hit)"
 
