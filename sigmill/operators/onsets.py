@@ -60,8 +60,8 @@ def subdivide_gaps(onsets: DataFrame, keys: list[str], k: Column, length: float,
     """Adds k points after each onset, up to the next one or, for the last, up to length. k may depend
     on gap, the distance to there."""
     nxt = F.lead(x, 1, float(length)).over(Window.partitionBy(*keys).orderBy(x))
-    rows = onsets.select(*keys, F.col(x).alias("s"), nxt.alias("e")).withColumn("gap", F.col("e") - F.col("s")).withColumn("k", k.cast("int"))
-    return rows.select(*keys, F.explode(F.expr(f"concat(array(s), {_points('s', 'e', 'k')})")).alias(x))
+    rows = onsets.select(*keys, F.col(x).alias("_s"), nxt.alias("_e")).withColumn("gap", F.col("_e") - F.col("_s")).withColumn("_k", k.cast("int"))
+    return rows.select(*keys, F.explode(F.expr(f"concat(array(_s), {_points('_s', '_e', '_k')})")).alias(x))
 
 
 def filled(onsets: str, least: int, length: float) -> Column:
@@ -89,10 +89,10 @@ def equalize_density(onsets: DataFrame, keys: list[str], length: float, x: str =
     rows = onsets.withColumn("_gap", gap)
     rows = rows.withColumn("_q", F.expr(f"percentile(_gap, array(0.25D, 0.5D, 0.75D)) over (partition by {', '.join(keys)})"))
     rows = rows.select(
-        *keys, F.col(x).alias("s"), (F.col(x) + F.col("_gap")).alias("e"),
-        F.expr("case when _gap > _q[2] + 1.5D * (_q[2] - _q[0]) then greatest(0, cast(floor(try_divide(_gap, _q[1])) as int) - 1) else 0 end").alias("k"),
+        *keys, F.col(x).alias("_s"), (F.col(x) + F.col("_gap")).alias("_e"),
+        F.expr("case when _gap > _q[2] + 1.5D * (_q[2] - _q[0]) then greatest(0, cast(floor(try_divide(_gap, _q[1])) as int) - 1) else 0 end").alias("_k"),
     )
-    return rows.select(*keys, F.explode(F.expr(f"concat(array(s), coalesce({_points('s', 'e', 'k')}, cast(array() as {ARRAY})))")).alias(x))
+    return rows.select(*keys, F.explode(F.expr(f"concat(array(_s), coalesce({_points('_s', '_e', '_k')}, cast(array() as {ARRAY})))")).alias(x))
 
 
 def largest_gap(onsets: DataFrame, keys: list[str], x: str = "onset_s") -> DataFrame:

@@ -29,9 +29,9 @@ def fade(samples: str, n_in: int, n_out: int) -> Column:
     are at most the event's, and where both meet, both count."""
     v = f"{samples}"
     i, o = f"least({int(n_in)}, size({v}))", f"least({int(n_out)}, size({v}))"
-    step_in = f"case when j < {i} then cast(j as double) / {i} else 1D end"
-    step_out = f"case when size({v}) - 1 - j < {o} then cast(size({v}) - 1 - j as double) / {o} else 1D end"
-    return F.expr(f"transform({v}, (x, j) -> x * {step_in} * {step_out})")
+    step_in = f"case when _j < {i} then cast(_j as double) / {i} else 1D end"
+    step_out = f"case when size({v}) - 1 - _j < {o} then cast(size({v}) - 1 - _j as double) / {o} else 1D end"
+    return F.expr(f"transform({v}, (_x, _j) -> _x * {step_in} * {step_out})")
 
 
 def split(waves: DataFrame, events: DataFrame, keys: list[str], samples: str, sample_rate: str, n_in: int = 5, n_out: int = 5) -> DataFrame:
