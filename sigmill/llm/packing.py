@@ -17,8 +17,10 @@ LENGTH = 4096
 OPEN = 512
 #: Pieces that wait to be placed; the longest of them goes first.
 WINDOW = 8192
-#: Words whose ids a worker remembers.
-MEMORY = 400_000
+#: Bytes of ids that may wait with them.
+HELD = 32 << 20
+#: Words of each generation whose ids a worker remembers.
+MEMORY = 350_000
 END = 1
 
 
@@ -62,30 +64,98 @@ class Bins:
 
 class WordIds:
     """Ids of whole texts, word by word. The vocabulary's rules never look across ASCII white space,
-    so the ids of a text are those of its words in turn; a bounded memory keeps frequent ones."""
+    so the ids of a text are those of its words in turn. Two generations of known words bound the
+    memory: what is used again moves to the younger one."""
 
     word = re.compile(WORD)
+    #: What str.split() cuts at beside ASCII white space.
+    other_space = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    #: Letters whose lower case is one letter wherever they stand, then marks that are a piece of
+    #: their own: such words are learned many at a time, without the marks.
+    plain = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+)([.,!?;:|]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
+    def _each(self, new: list[str]) -> dict[str, bytes]:
         found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         return {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(new, found, strict=True)}
 
+    def _letters(self, new: list[str]) -> dict[str, bytes]:
+        """Words of letters: one text of all of them, cut after each word's end."""
+        out = {}
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part):
+                out.update(self._each(part))
+                continue
+            raw = ids.tobytes()
+            out.update((w, raw[i:j]) for w, i, j in zip(part, [0, *cuts[:-1]], cuts, strict=True))
+        return out
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        plain, rest = {}, []
+        for w in new:
+            m = self.plain.fullmatch(w)
+            if m:
+                plain[w] = (m[1].lower(), m[2])
+            else:
+                rest.append(w)
+        unknown = {m for _, m in plain.values()}.difference(self.marks)
+        if len(self.marks) > 10_000:
+            self.marks = {"": b""}
+            unknown = {m for _, m in plain.values() if m}
+        self.marks.update(self._each(list(unknown)))
+        letters = {}
+        for a in {a for a, _ in plain.values()}:  # the same letters may be known as a word
+            raw = self.known.get(a) or self.old.get(a)
+            if raw:
+                letters[a] = raw
+        letters.update(self._letters([a for a in {a for a, _ in plain.values()} if a not in letters]))
+        found = self._each(rest)
+        marks = self.marks
+        found.update((w, letters[a] + marks[m]) for w, (a, m) in plain.items())
+        found.update(letters)
+        return found
+
+    def _split(self, text: str) -> list[str]:
+        return self.word.findall(text) if self.other_space.search(text) else text.split()
+
     def many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self.word.findall(t) for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > MEMORY:
-            keep = set().union(*split) if len(new) < MEMORY else ()
-            self.known = {w: self.known[w] for w in keep if w in self.known}
-        self.known.update(self._learn(new))
+        split = [self._split(t) for t in texts]
+        found = [list(map(self.known.get, words)) for words in split]
+        lacks = [None in ids for ids in found]
+        new = {w for words, ids, lack in zip(split, found, lacks, strict=True) if lack for w, x in zip(words, ids, strict=True) if x is None}
+        old = self.old
+        again = new.intersection(old)
+        self.known.update((w, old[w]) for w in again)
+        self.known.update(self._learn(list(new.difference(again))))
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words) if lack else ids) for words, ids, lack in zip(split, found, lacks, strict=True)]
+        if len(self.known) > MEMORY:
+            self.old, self.known = self.known, {}
+        return out
+
+
+_workers: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One for each worker process and vocabulary."""
+    if path not in _workers:
+        _workers[path] = WordIds(path)
+    return _workers[path]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long, sequence_id long, offset long"
@@ -104,16 +174,17 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, bins = WordIds(tokenizer), Bins(length, open_bins)
+        words, bins = word_ids(tokenizer), Bins(length, open_bins)
         base = TaskContext.get().partitionId() << 33
         waiting: list[tuple] = []
+        held = 0
 
         def placed(upto: int) -> Iterator[pa.RecordBatch]:
             """Places the longest until `upto` wait."""
             waiting.sort(key=lambda p: -p[3])
             go, waiting[:] = waiting[: len(waiting) - upto], waiting[len(waiting) - upto :]
-            for at in range(0, len(go), 1024):
-                part = go[at : at + 1024]
+            for at in range(0, len(go), 256):
+                part = go[at : at + 256]
                 where = [bins.place(p[3]) for p in part]
                 raw = [np.frombuffer(p[4], np.int32) if ids else None for p in part]
                 cols = [pa.array([p[k] for p in part], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
@@ -131,8 +202,10 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
                     for i, s in enumerate(range(0, n, length)):
                         b = raw[4 * s : 4 * (s + length)]
                         waiting.append((k, i, s, len(b) // 4, b if ids else b"", zlib.crc32(b)))
-                if len(waiting) >= 2 * window:
-                    yield from placed(window)
+                        held += len(waiting[-1][4])
+                if len(waiting) >= 2 * window or held > HELD:
+                    yield from placed(min(window, len(waiting) // 2))
+                    held = sum(len(p[4]) for p in waiting)
         yield from placed(0)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
