@@ -140,7 +140,8 @@ def groups(ids: DataFrame) -> DataFrame:
     then one of the repeated rows."""
     best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), "doc_id", "uid")).alias("best")
     g = ids.groupBy("n_bytes", "name").agg(F.count("*").alias("group_size"), best)
-    g = g.select("n_bytes", "name", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid"))
+    # Written, so that both sides of the join are plain exchanges whose hot groups can be split.
+    g = written(g, "groups").select("n_bytes", "name", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid"))
     return ids.join(g, ["n_bytes", "name"]).withColumn("kept", F.col("uid") == F.col("keep_uid"))
 
 
