@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ WINDOW = 8192
 #: Bytes of ids that may wait with them.
 HELD = 32 << 20
 #: Words of each generation whose ids a worker remembers.
-MEMORY = 350_000
+MEMORY = 600_000
 END = 1
 
 
@@ -74,10 +76,17 @@ class WordIds:
     #: their own: such words are learned many at a time, without the marks.
     plain = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+)([.,!?;:|]*)")
 
+    #: The vocabulary's own rule for the pieces of a lower-case word, over ASCII.
+    pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For lower-case letters the normaliser and the rule for pieces change nothing.
+        rules = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
+        rules["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}
+        self.light = Tokenizer.from_str(json.dumps(rules))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -94,7 +103,7 @@ class WordIds:
         out = {}
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.asarray(self.light.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(part):
                 out.update(self._each(part))
@@ -104,27 +113,32 @@ class WordIds:
         return out
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        plain, rest = {}, []
+        plain, mixed, rest = {}, {}, []
         for w in new:
             m = self.plain.fullmatch(w)
             if m:
                 plain[w] = (m[1].lower(), m[2])
+            elif w.isascii() and w.isprintable() and "<|" not in w:
+                mixed[w] = self.pieces.findall(w.lower())
             else:
                 rest.append(w)
-        unknown = {m for _, m in plain.values()}.difference(self.marks)
-        if len(self.marks) > 10_000:
-            self.marks = {"": b""}
-            unknown = {m for _, m in plain.values() if m}
-        self.marks.update(self._each(list(unknown)))
-        letters = {}
-        for a in {a for a, _ in plain.values()}:  # the same letters may be known as a word
+        letters, marks = {}, {m for _, m in plain.values()}
+        wanted = {a for a, _ in plain.values()}
+        for own in mixed.values():
+            for x in own:
+                (wanted if x.isalpha() else marks).add(x)
+        for a in wanted:  # the same letters may be known as a word
             raw = self.known.get(a) or self.old.get(a)
             if raw:
                 letters[a] = raw
-        letters.update(self._letters([a for a in {a for a, _ in plain.values()} if a not in letters]))
+        letters.update(self._letters([a for a in wanted if a not in letters]))
+        if len(self.marks) > 50_000:
+            self.marks = {"": b""}
+        self.marks.update(self._each([m for m in marks if m not in self.marks]))
+        get, marks = letters.__getitem__, self.marks
         found = self._each(rest)
-        marks = self.marks
-        found.update((w, letters[a] + marks[m]) for w, (a, m) in plain.items())
+        found.update((w, get(a) + marks[m]) for w, (a, m) in plain.items())
+        found.update((w, b"".join([letters[x] if x in letters else marks[x] for x in own])) for w, own in mixed.items())
         found.update(letters)
         return found
 
@@ -135,17 +149,21 @@ class WordIds:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [self._split(t) for t in texts]
         found = [list(map(self.known.get, words)) for words in split]
-        lacks = [None in ids for ids in found]
-        new = {w for words, ids, lack in zip(split, found, lacks, strict=True) if lack for w, x in zip(words, ids, strict=True) if x is None}
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        new: set[str] = set()
+        for words, own in zip(split, gaps, strict=True):
+            new.update([words[i] for i in own])
         old = self.old
         again = new.intersection(old)
         self.known.update((w, old[w]) for w in again)
         self.known.update(self._learn(list(new.difference(again))))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, words) if lack else ids) for words, ids, lack in zip(split, found, lacks, strict=True)]
-        if len(self.known) > MEMORY:
-            self.old, self.known = self.known, {}
-        return out
+        known = self.known
+        for words, ids, own in zip(split, found, gaps, strict=True):
+            for i in own:
+                ids[i] = known[words[i]]
+        if len(known) > MEMORY:
+            self.old, self.known = known, {}
+        return [b"".join(ids) for ids in found]
 
 
 _workers: dict[str, WordIds] = {}
@@ -174,6 +192,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        gc.disable()  # it would walk the known words again and again; nothing here is cyclic
         words, bins = word_ids(tokenizer), Bins(length, open_bins)
         base = TaskContext.get().partitionId() << 33
         waiting: list[tuple] = []
@@ -207,5 +226,6 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
                     yield from placed(min(window, len(waiting) // 2))
                     held = sum(len(p[4]) for p in waiting)
         yield from placed(0)
+        gc.enable()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
