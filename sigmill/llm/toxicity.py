@@ -92,7 +92,14 @@ def train_nnpu(model: Model, positive: list, unlabelled: list, prior: float, ste
         full = np.append(np.bincount(idx, weights=g[row] * val, minlength=k) + decay * v[:k], g.sum())
         m1, m2 = 0.9 * m1 + 0.1 * full, 0.999 * m2 + 0.001 * full * full
         v -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
-    model.weights, model.bias = v[:k], float(v[k])
+    # Where the sample is small, the correction moves the bias more than anything else: it is set last,
+    # so that the unlabelled vectors' mean score is the class prior.
+    z = np.bincount(row, weights=v[idx] * val, minlength=len(rows))[~is_p]
+    low, high = -60.0, 60.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (1 / (1 + np.exp(-np.clip(z + mid, -60, 60)))).mean() < prior else (low, mid)
+    model.weights, model.bias = v[:k], (low + high) / 2
 
 
 def held_out(key) -> F.Column:
