@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..operators import detectors as D
-from ..operators import framing, onsets, segments, stats
+from ..operators import conditioning, framing, onsets, segments, stats
 from ..schema import FEATURES, TIMBRAL
 from ..settings import Settings
 
 KEYS = ["signal_id", "event_idx"]
-HOP = 512
+HOP, RATE = 512, 44100.0
 
 
 def find_onsets(waves: DataFrame, s: Settings, rate: float) -> DataFrame:
@@ -23,6 +23,8 @@ def find_onsets(waves: DataFrame, s: Settings, rate: float) -> DataFrame:
     if s.Onset.segmentation == "Uniform":
         return onsets.uniform_grid(waves.select("signal_id", length.alias("length")), ["signal_id"], "length").select("signal_id", "onset_s")
     w = s.Onset.weights()
+    if rate != RATE:  # detectors work at one rate, times don't depend on it
+        waves, rate = conditioning.resample(waves, ["signal_id"], "samples", rate, RATE), RATE
     size = min(max(s.Analysis.frameSize, 512), 2048)
     centred = waves.select("signal_id", F.concat(F.array_repeat(F.lit(0.0), size // 2), F.col("samples").cast("array<double>")).alias("samples"))
     f = framing.frames(centred, ["signal_id"], "samples", size, HOP)

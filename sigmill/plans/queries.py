@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..operators import detectors as D
-from ..operators import framing, onsets, projection, segments, spectral, stats
+from ..operators import changepoints, conditioning, framing, onsets, projection, segments, spectral, stats
+from ..settings import SBic
 from .tables import DAY, LENGTH, points, table, vectors
 from .tables import onsets as onset_rows
 
@@ -512,29 +512,19 @@ def q_pca6(spark, sf_dir):
 def q_bic_segments(spark, sf_dir):
     """Change points of each label's sequence of 4-dimensional frames."""
     rows = vectors(spark, sf_dir).select("label", "vec_id", F.slice("frame", 1, 4).alias("f"))
-    rows = rows.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", "f"))).alias("x"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for label, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = K.bic_segments(np.array([p["f"] for p in x]), size1=60, inc1=10, size2=40, inc2=5)
-                yield pa.RecordBatch.from_arrays([pa.array([label] * (len(found) + 1), pa.int32()), pa.array([0, *found], pa.int32())], ["label", "start_frame"])
-
-    return rows.mapInArrow(run, "label int, start_frame int")
+    return changepoints.bic(rows, "label", "vec_id", "f", SBic(size1=60, inc1=10, size2=40, inc2=5))
 
 
 @query()
 def q_resample(spark, sf_dir):
-    out = framing.map_frames(vectors(spark, sf_dir), ["vec_id"], "frame", {"samples": "array<double>"}, lambda m: {"samples": np.array([K.resample(x, 22050.0) for x in m])})
-    return rounded(out.select("vec_id", F.posexplode("samples").alias("i", "x")), "x", n=5)
+    out = conditioning.resample(vectors(spark, sf_dir), ["vec_id"], "frame", 22050.0)
+    return rounded(out.select("vec_id", F.posexplode("frame").alias("i", "x")), "x", n=5)
 
 
 @query()
 def q_equal_loudness(spark, sf_dir):
-    out = framing.map_frames(vectors(spark, sf_dir), ["vec_id"], "frame", {"samples": "array<double>"}, lambda m: {"samples": np.array([K.equal_loudness(x) for x in m])})
-    return rounded(out.select("vec_id", F.posexplode("samples").alias("i", "x")), "x", n=5)
+    out = conditioning.equal_loudness(vectors(spark, sf_dir), ["vec_id"], "frame")
+    return rounded(out.select("vec_id", F.posexplode("frame").alias("i", "x")), "x", n=5)
 
 
 @query(f"select i, {sr('sin(2 * pi() * (100 + 3900 * i::double / 4409) * i / 44100)')} as x from (select unnest(range(4410)) i)")

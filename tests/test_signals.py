@@ -168,6 +168,13 @@ def test_bursts_are_found(spark):
     assert all(min(abs(t - f) for f in found) < 0.05 for t in at)
 
 
+def test_other_rates_are_resampled(spark):
+    x, at = bursts()
+    s = Settings().with_(Onset={"segmentation": "Event", "weight_complex": 0.0, "weight_complexPhase": 0.0})
+    found = times(prepare(waves(spark, b=K.resample(x, RATE, 22050.0)), s, 22050.0))
+    assert all(min(abs(t - f) for f in found) < 0.05 for t in at)
+
+
 def test_timbre_space(spark):
     x = np.concatenate([np.sin(2 * np.pi * 440 * np.arange(8820) / RATE), np.sin(2 * np.pi * 880 * np.arange(8820) / RATE)])
     out = timbre_space(waves(spark, tone=x, silence=np.zeros(8820), short=np.zeros(1000), none=[]), RATE).cache()
