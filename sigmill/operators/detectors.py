@@ -58,6 +58,16 @@ def complex_phase(mag: str, phase: str, keys: list[str], order: str) -> Column:
     return F.when(p2.isNull(), F.lit(0.0)).otherwise(F.aggregate(F.transform(at, deviation), F.lit(0.0), lambda s, x: s + x))
 
 
+#: Fixed order of the detectors.
+NAMES = ["hfc", "complex", "complexPhase", "flux", "rms"]
+
+
+def matrix(rows: DataFrame, keys: list[str], order: str, mag: str, phase: str, frame: str, weights: list[float] | None = None) -> DataFrame:
+    """(keys, order, five detector columns). A detector of weight 0 is a column of zeros and costs nothing."""
+    made = [lambda: hfc(mag), lambda: complex_domain(mag, phase, keys, order), lambda: complex_phase(mag, phase, keys, order), lambda: flux(mag, keys, order), lambda: rms_rise(frame, keys, order)]
+    return rows.select(*keys, order, *[(f() if w > 0 else F.lit(0.0)).alias(n) for n, f, w in zip(NAMES, made, weights or [1.0] * 5, strict=True)])
+
+
 def combine(rows: DataFrame, keys: list[str], columns: list[str], weights: list[float]) -> DataFrame:
     """Adds strength: detectors scaled to a maximum of 1 per signal, weighted; those of weight 0 are left
     out of the plan."""

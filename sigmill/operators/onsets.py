@@ -6,6 +6,10 @@ kept is a fold over one signal's sorted onsets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +55,25 @@ def min_gap_dedup(onsets: DataFrame, keys: list[str], gap: float = MIN_GAP, leng
     return exploded(gathered(rows, keys).withColumn("onsets", keep_gaps("onsets", gap)), keys)
 
 
+def min_gap_stream(onsets: DataFrame, keys: list[str], gap: float = MIN_GAP, x: str = "onset_s") -> DataFrame:
+    """min_gap_dedup() for signals with very many onsets: (keys, onset_s) by one pass over sorted rows, which
+    holds the last onset kept instead of a signal's list. Signals are dealt over tasks whole."""
+    src = onsets.select(*keys, F.col(x).cast("double").alias("onset_s"))
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, 0.0
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            ids = list(zip(*(b.column(k).to_pylist() for k in range(n)), strict=True)) if n else [()] * b.num_rows
+            for i, (k, t) in enumerate(zip(ids, b.column(n).to_pylist(), strict=True)):
+                if k != last_key or t - last >= gap:
+                    keep[i], last_key, last = True, k, t
+            yield b.filter(pa.array(keep))
+
+    return src.where("onset_s is not null").repartition(*keys).sortWithinPartitions(*keys, "onset_s").mapInArrow(run, src.schema)
+
+
 def _points(start: str, end: str, k: str) -> str:
     """SQL: k points that cut [start, end] into equal parts; none for k < 1."""
     return f"case when {k} < 1 then cast(array() as {ARRAY}) else transform(sequence(1, {k}), i -> {start} + ({end} - {start}) * i / ({k} + 1)) end"

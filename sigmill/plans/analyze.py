@@ -34,11 +34,9 @@ def find_onsets(waves: DataFrame, s: Settings, rate: float) -> DataFrame:
         return {"mag": mag, "phase": phase, "frame": m}
 
     p = framing.map_frames(f, ["signal_id", "frame_idx"], "frame", {"mag": "array<double>", "phase": "array<double>", "frame": "array<double>"}, kernel)
-    k, o = ["signal_id"], "frame_idx"
-    made = {"hfc": lambda: D.hfc("mag"), "complex": lambda: D.complex_domain("mag", "phase", k, o), "complexPhase": lambda: D.complex_phase("mag", "phase", k, o), "flux": lambda: D.flux("mag", k, o), "rms": lambda: D.rms_rise("frame", k, o)}
-    live = [(n, x) for n, x in zip(made, w, strict=True) if x > 0]
-    d = D.combine(p.select("signal_id", "frame_idx", *[made[n]().alias(n) for n, _ in live]), k, [n for n, _ in live], [x for _, x in live])
-    return D.peak_pick(d, k, o, "strength", s.Onset.alpha, s.Onset.numFrames_shortOnsetFilter, s.Onset.silenceThreshold, rate / HOP).select("signal_id", "onset_s")
+    d = D.matrix(p, ["signal_id"], "frame_idx", "mag", "phase", "frame", w)
+    d = D.combine(d, ["signal_id"], D.NAMES, w)
+    return D.peak_pick(d, ["signal_id"], "frame_idx", "strength", s.Onset.alpha, s.Onset.numFrames_shortOnsetFilter, s.Onset.silenceThreshold, rate / HOP).select("signal_id", "onset_s")
 
 
 def prepare(waves: DataFrame, s: Settings, rate: float) -> DataFrame:

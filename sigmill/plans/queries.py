@@ -474,6 +474,20 @@ def q_onset_complex_phase(spark, sf_dir):
     return _polar(spark, sf_dir).select("vec_id", r(D.complex_phase("mag", "phase", ["label"], "vec_id"), 3).alias("x"))
 
 
+@query(DFT + SEQ + f""", s as (select vec_id, sqrt(sum(x * x) / 64) e, any_value(label) label from v group by vec_id), u as (select vec_id, greatest(e - lag(e) over (partition by label order by vec_id), 0) as rms from s)
+select vec_id, {sr('sum(m * k)', 4)} as hfc, {sr('sum(coalesce(greatest(m - m1, 0), 0))', 4)} as flux, {sr('coalesce(any_value(rms), 0)')} as rms, {sr('0::double')} as complex from q join u using (vec_id) group by vec_id""")
+def q_onset_matrix(spark, sf_dir):
+    """The five detectors side by side, the phase detectors switched off by weight."""
+    p = framing.map_frames(vectors(spark, sf_dir), ["vec_id", "label"], "frame", {"mag": "array<double>", "phase": "array<double>", "frame": "array<double>"}, lambda m: dict(zip(("mag", "phase", "frame"), (*K.polar(m), m), strict=True)))
+    d = D.matrix(p, ["label"], "vec_id", "mag", "phase", "frame", [0.5, 0.0, 0.0, 0.5, 0.5])
+    return d.select("vec_id", r("hfc", 4).alias("hfc"), r("flux", 4).alias("flux"), r("rms").alias("rms"), r("complex").alias("complex"))
+
+
+@query(f"with {_lists(GAP5)} " + f"select user_id, {sr('s')} as onset_s from (select user_id, unnest(o) s from k)")
+def q_min_gap_stream(spark, sf_dir):
+    return rounded(onsets.min_gap_stream(onsets.tail_filter(onset_rows(spark, sf_dir), LENGTH, GAP5), U, GAP5), "onset_s")
+
+
 def _frame_no(df):
     return df.withColumn("frame_idx", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
 
