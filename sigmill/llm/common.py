@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
+import gc
 import tempfile
+import time
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for notebooks)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ def written(df: DataFrame, hint: str = "t") -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sigmill/{hint}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sigmill_path = path
     return out
@@ -45,6 +45,15 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps now; it acts when the driver's
+    garbage is collected, which otherwise may be long after they have filled the disks."""
+    for _ in range(2):  # the second round finds what the first one's finalisers let go
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df does not have yet (case-insensitively)."""
     have = {c.lower() for c in df.columns}

@@ -12,7 +12,7 @@ at one shift. The steps are those of difference-cover suffix sorting, cut off at
 
 Names are 64-bit polynomial hashes. They move as packed arrays, sorted and without repeats, so that a
 string that is everywhere is sent once from each part. Documents are dealt into parts of a few MB by
-a hash of their key; a task holds one part, or one bucket of about a million names.
+a hash of their key; whole copies are found first, and take part once; a task holds one part, or one bucket of names, a few million at most.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, small, written
 
 LENGTH = 200
 V = 133
 #: A perfect difference set: each difference modulo 133 occurs once.
 COVER = (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
-#: Bytes of text in a part, and names in a bucket, on average.
-PART, BUCKET = 4 << 20, 1 << 20
+#: Bytes of text in a part, and for which there is one bucket of names, on average.
+PART, BUCKET = 2 << 20, 4 << 20
 #: Positions hashed at a time.
 STEP = 1 << 17
 
@@ -87,26 +87,26 @@ def _sampled(v: int, cover: tuple[int, ...]) -> np.ndarray:
 
 
 def pack(sorted_: np.ndarray) -> bytes:
-    """Sorted names as 8 bytes and differences of 6, or of 8 where one is larger."""
+    """Sorted names as 8 bytes and differences of 6; the few that need more have the rest set apart."""
     if not len(sorted_):
         return b""
     d = np.diff(sorted_)
-    wide = bool(len(d)) and int(d.max()) >> 48 != 0
-    raw = d.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return bytes([wide]) + sorted_[:1].astype("<u8").tobytes() + (raw if wide else raw[:, :6]).tobytes()
+    wide = np.flatnonzero(d >> np.uint64(48))
+    raw = d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return b"".join([len(wide).to_bytes(4, "little"), sorted_[:1].astype("<u8").tobytes(), wide.astype("<u4").tobytes(), (d[wide] >> np.uint64(48)).astype("<u2").tobytes(), raw.tobytes()])
 
 
 def unpack(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.uint64)
-    first = np.frombuffer(data, "<u8", 1, 1)
-    if data[0]:
-        d = np.frombuffer(data, "<u8", -1, 9) if len(data) > 9 else np.zeros(0, np.uint64)
-    else:
-        raw = np.frombuffer(data, np.uint8, -1, 9) if len(data) > 9 else np.zeros(0, np.uint8)
-        wide = np.zeros((len(raw) // 6, 8), np.uint8)
-        wide[:, :6] = raw.reshape(-1, 6)
-        d = wide.view("<u8").ravel()
+    k = int.from_bytes(data[:4], "little")
+    first = np.frombuffer(data, "<u8", 1, 4)
+    raw = np.frombuffer(data[12 + 6 * k :], np.uint8)
+    full = np.zeros((len(raw) // 6, 8), np.uint8)
+    full[:, :6] = raw.reshape(-1, 6)
+    d = full.view("<u8").ravel()
+    if k:
+        d[np.frombuffer(data, "<u4", k, 12)] |= np.frombuffer(data, "<u2", k, 12 + 4 * k).astype(np.uint64) << np.uint64(48)
     return np.concatenate([first, first[0] + np.cumsum(d, dtype=np.uint64)]).astype(np.uint64)
 
 
@@ -132,6 +132,7 @@ class Plan:
         assert covers(cover, v) and length >= v
         self.length, self.v, self.parts, self.bits = length, v, parts, bits
         self.short = length - v + 1
+        self.part_type = "<u2" if parts <= 1 << 16 else "<i4"
         self.mask = _sampled(v, cover)
 
     def samples(self, b: np.ndarray, short: Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +156,12 @@ class Plan:
             return none
         edge = np.zeros(len(b) + 2, np.int32)
         np.add.at(edge, np.maximum(p - self.v + 1, 0), 1)
-        np.add.at(edge, p + 1, -1)
+        edge[p + 1] -= 1
         live = np.cumsum(edge)[:last] > 0
         where, found = [], []
         for at, h in full(b):
             i = np.flatnonzero(live[at : at + len(h)])
-            where.append(i + at)
+            where.append((i + at).astype(np.int32))  # a text has fewer than 2^31 bytes
             found.append(h[i])
         return np.concatenate(where), np.concatenate(found)
 
@@ -180,17 +181,19 @@ def _name_samples(plan: Plan, rows: DataFrame) -> DataFrame:
         third = np.zeros(len(h), bool)  # two of a name and part say that it is repeated
         third[2:] = (h[2:] == h[:-2]) & (g[2:] == g[:-2])
         h, g = h[~third], g[~third]
-        return _binary([(k, h[s].tobytes(), g[s].astype("<i4").tobytes()) for k, s in _split(h, plan.bits)], ["bucket", "names", "parts"])
+        return _binary([(k, pack(h[s]), g[s].astype(plan.part_type).tobytes()) for k, s in _split(h, plan.bits)], ["bucket", "names", "parts"])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = Hasher(plan.short)
         names, parts, n = [], [], 0
         for batch in batches:
-            for part, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, copied, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 b = _bytes(text)
                 if len(b) < plan.length:
                     continue
                 h = plan.samples(b, short)[1]
+                if copied:
+                    h = np.concatenate([h, h])
                 names.append(h)
                 parts.append(np.full(len(h), part, np.int32))
                 n += len(h)
@@ -201,8 +204,8 @@ def _name_samples(plan: Plan, rows: DataFrame) -> DataFrame:
             yield emit(names, parts)
 
     def repeated(key: tuple, table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table["names"].combine_chunks()])
-        g = np.concatenate([np.frombuffer(x.as_buffer(), "<i4") for x in table["parts"].combine_chunks()])
+        h = np.concatenate([unpack(x) for x in table["names"].to_pylist()])
+        g = np.concatenate([np.frombuffer(x, plan.part_type) for x in table["parts"].to_pylist()])
         order = np.argsort(h, kind="stable")
         h, g = h[order], g[order]
         same = h[1:] == h[:-1]
@@ -210,12 +213,12 @@ def _name_samples(plan: Plan, rows: DataFrame) -> DataFrame:
         h, g = h[twice], g[twice]
         order = np.lexsort((h, g))
         h, g = h[order], g[order]
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]]) if len(g) else [0]
+        starts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]]) if len(g) else [0]
         k = key[0].as_py()
         made = [(int(g[i]), k, 0, pack(np.unique(h[i:j]))) for i, j in zip(starts[:-1], starts[1:], strict=True)]
         return pa.Table.from_batches([_binary(made, ["part", "bucket", "kind", "data"])])
 
-    sent = rows.select("part", "text").mapInArrow(sample, "bucket int, names binary, parts binary")
+    sent = rows.select("part", "copied", "text").mapInArrow(sample, "bucket int, names binary, parts binary")
     return sent.groupBy("bucket").applyInArrow(repeated, "part int, bucket int, kind int, data binary")
 
 
@@ -239,6 +242,7 @@ def _name_suffixes(plan: Plan, rows: DataFrame, marks: DataFrame) -> DataFrame:
             return pa.Table.from_batches([_binary([], kinds)])
         short, full, known = Hasher(plan.short), Hasher(plan.length), _repeated_samples(marks)
         h = [plan.suffixes(_bytes(t), known, short, full)[1] for t in texts["text"].combine_chunks()]
+        h += [h[i] for i in np.flatnonzero(texts["copied"].to_numpy())]
         names, counts = np.unique(np.concatenate(h), return_counts=True)
         part = texts["part"][0].as_py()
         made = [(part, k, pack(names[s]), np.packbits(counts[s] > 1).tobytes()) for k, s in _split(names, plan.bits)]
@@ -259,7 +263,7 @@ def _name_suffixes(plan: Plan, rows: DataFrame, marks: DataFrame) -> DataFrame:
         made = [(p, k, 1, np.packbits(hit[e - len(n) : e]).tobytes()) for p, n, e in zip(table["part"].to_pylist(), own, ends.tolist(), strict=True) if hit[e - len(n) : e].any()]
         return pa.Table.from_batches([_binary(made, ["part", "bucket", "kind", "data"])])
 
-    left, right = rows.select("part", "text").groupBy("part"), marks.groupBy("part")
+    left, right = rows.select("part", "copied", "text").groupBy("part"), marks.groupBy("part")
     sent = left.cogroup(right).applyInArrow(name, "part int, bucket int, names binary, twice binary")
     return sent.groupBy("bucket").applyInArrow(compare, "part int, bucket int, kind int, data binary")
 
@@ -275,20 +279,28 @@ def _remove(plan: Plan, rows: DataFrame, marks: DataFrame) -> DataFrame:
         short, full, known, bits = Hasher(plan.short), Hasher(plan.length), _repeated_samples(marks), _known(marks, 1)
         data = [_bytes(t) for t in texts["text"].combine_chunks()]
         found = [plan.suffixes(b, known, short, full) if bits else (np.zeros(0, np.int64), np.zeros(0, np.uint64)) for b in data]
-        names = np.unique(np.concatenate([h for _, h in found])) if found else np.zeros(0, np.uint64)
-        hit = [names[s][np.unpackbits(np.frombuffer(bits[k], np.uint8), count=s.stop - s.start).astype(bool)] for k, s in _split(names, plan.bits) if k in bits]
-        hit = np.concatenate(hit) if hit else np.zeros(0, np.uint64)
-        spans, kept = [], []
-        for b, (p, h) in zip(data, found, strict=True):
-            p = p[_among(h, hit)]
+        names, place = np.unique(np.concatenate([h for _, h in found] or [np.zeros(0, np.uint64)]), return_inverse=True)
+        hit = np.zeros(len(names), bool)
+        for k, s in _split(names, plan.bits):
+            if k in bits:
+                hit[s] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=s.stop - s.start)
+        hit = hit[place]
+        del names, place
+        spans, kept, at = [], [], 0
+        own = ~texts["copied"].to_numpy()
+        for b, (p, h), out in zip(data, found, own.tolist(), strict=True):
+            p = p[hit[at : at + len(h)]]
+            at += len(h)
+            if not out:
+                continue
             edge = np.zeros(len(b) + 1, np.int32)
-            np.add.at(edge, p, 1)
-            np.add.at(edge, p + plan.length, -1)
+            edge[p] += 1  # p has no position twice
+            edge[p + plan.length] -= 1
             gone = np.cumsum(edge)[: len(b)] > 0
             turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
             spans.append([{"start": i, "end": j} for i, j in zip(turns[::2], turns[1::2], strict=True)])
             kept.append(b[~gone].tobytes() if turns else b.tobytes())
-        cols = [texts["doc_id"].combine_chunks(), pa.array([len(b) for b in data], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
+        cols = [texts["doc_id"].filter(pa.array(own)).combine_chunks(), pa.array([len(b) for b, out in zip(data, own.tolist(), strict=True) if out], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
         return pa.Table.from_arrays(cols, ["doc_id", "n_bytes", "spans", "kept"])
 
     return rows.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(cut, OUT)
@@ -304,9 +316,23 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = src.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(8, -(-total // part))
-    bits = max(4, (total * len(cover) // v // bucket).bit_length())
+    bits = max(4, (total // bucket).bit_length())
     plan = Plan(length, v, cover, parts, bits)
-    rows = src.select(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(parts)).cast("int").alias("part"), "doc_id", "text")
+    place = lambda *c: F.pmod(F.xxhash64(*c, F.lit("part")), F.lit(parts)).cast("int").alias("part")
+    # Whole copies: all of their bytes go if there are `length`; one text of each group takes part, as copied.
+    same = [F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c"), F.octet_length("text").alias("n")]
+    keyed = src.select("doc_id", "text", *same)
+    found = written(keyed.groupBy("h", "c", "n").count().where("count > 1").select("h", "c", "n"), "copies")
+    copies = small(found)
+    many = keyed.join(copies, ["h", "c", "n"], "left_semi")
+    one = written(many.groupBy("h", "c", "n").agg(F.first("text").alias("text")), "copied")
+    alone = keyed.join(copies, ["h", "c", "n"], "left_anti").select(place("doc_id"), F.lit(False).alias("copied"), "doc_id", "text")
+    rows = alone.union(one.select(place("h", "n"), F.lit(True), F.lit(None).cast("long"), "text"))
     samples = written(_name_samples(plan, rows), "samples")
+    release(docs.sparkSession)
     suffixes = written(_name_suffixes(plan, rows, samples), "suffixes")
-    return _remove(plan, rows, samples.union(suffixes))
+    release(docs.sparkSession)
+    span = F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
+    gone = F.col("n") >= length
+    whole = many.select("doc_id", F.col("n").cast("long").alias("n_bytes"), F.when(gone, F.array(span)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"), F.when(gone, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("kept"))
+    return _remove(plan, rows, samples.union(suffixes)).union(whole)
