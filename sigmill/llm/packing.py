@@ -20,9 +20,9 @@ OPEN = 512
 #: Pieces that wait to be placed; the longest of them goes first.
 WINDOW = 8192
 #: Bytes of ids that may wait with them.
-HELD = 32 << 20
-#: Words of each generation whose ids a worker remembers.
-MEMORY = 600_000
+HELD = 16 << 20
+#: Words of each of two generations whose ids a worker remembers; 100,000 take about 20 MB.
+MEMORY = 150_000
 END = 1
 
 
@@ -79,9 +79,10 @@ class WordIds:
     #: The vocabulary's own rule for the pieces of a lower-case word, over ASCII.
     pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
+        self.memory = memory
         self.tokenizer = Tokenizer.from_file(path)
         # For lower-case letters the normaliser and the rule for pieces change nothing.
         rules = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
@@ -161,25 +162,26 @@ class WordIds:
         for words, ids, own in zip(split, found, gaps, strict=True):
             for i in own:
                 ids[i] = known[words[i]]
-        if len(known) > MEMORY:
+        if len(known) > self.memory:
             self.old, self.known = known, {}
         return [b"".join(ids) for ids in found]
 
 
-_workers: dict[str, WordIds] = {}
+_workers: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One for each worker process and vocabulary."""
-    if path not in _workers:
-        _workers[path] = WordIds(path)
-    return _workers[path]
+def word_ids(path: str, memory: int) -> WordIds:
+    """A worker process keeps one."""
+    if (path, memory) not in _workers:
+        _workers.clear()
+        _workers[path, memory] = WordIds(path, memory)
+    return _workers[path, memory]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", length: int = LENGTH, open_bins: int = OPEN, window: int = WINDOW, ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", length: int = LENGTH, open_bins: int = OPEN, window: int = WINDOW, ids: bool = True, memory: int = MEMORY) -> DataFrame:
     """Pieces of all documents with their place in sequences of at most `length` tokens.
 
     tokenizer: path of a vocabulary file, which every executor has. A document is the ids of its
@@ -187,13 +189,13 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     cut, into pieces of `length`. Each task packs its own rows, in one pass and in bounded memory: the
     pieces wait in a window, the longest of which goes to the open bin that it fills best, so only a
     task's last bins stay open. Repeated rows are packed as often as they come. Without ids, the
-    array is null and only its checksum is there."""
+    array is null and only its checksum is there. memory: words that a worker remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         gc.disable()  # it would walk the known words again and again; nothing here is cyclic
-        words, bins = word_ids(tokenizer), Bins(length, open_bins)
+        words, bins = word_ids(tokenizer, memory), Bins(length, open_bins)
         base = TaskContext.get().partitionId() << 33
         waiting: list[tuple] = []
         held = 0

@@ -36,7 +36,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.pack(texts(spark, sf_dir), vocabulary(), ids=False)
+    found = packing.pack(texts(spark, sf_dir), vocabulary(), ids=False, memory=600_000)
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -79,9 +79,8 @@ def test_best_fit_against_a_list():
         free[k] = free.get(k, 50) - n
 
 
-def test_memory_of_words_is_bounded(monkeypatch):
-    monkeypatch.setattr(P, "MEMORY", 50)
-    w = P.WordIds(vocabulary())
+def test_memory_of_words_is_bounded():
+    w = P.WordIds(vocabulary(), 50)
     rng = random.Random(7)
     for _ in range(30):
         texts = [prose(rng, 10, 40) for _ in range(3)]
