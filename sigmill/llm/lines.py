@@ -4,8 +4,9 @@ A line's tokens are its different words; two lines match when the Jaccard simila
 is 0.8 or more. Tokens are ordered by rarity: by the logarithm of how many lines of the whole corpus
 have a token of their cell (65,536 cells of the tokens' hashes, so that the table has a fixed size),
 then by hash. A pair that matches shares a token among the first n - ceil(0.8 n) + 1 of each, so an
-index of these prefixes finds it; length and positional filters thin the candidates, and the
-intersection of the whole token sets decides. Lines with equal tokens are one set, which enters the
+index of these prefixes finds it; length and positional filters thin the candidates, as does a bitmap
+of the tokens' parities (the bits in which two differ are at most the tokens that one set has alone),
+and the intersection of the whole token sets decides. Lines with equal tokens are one set, which enters the
 join once however many there are.
 """
 
@@ -16,25 +17,33 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, small, written
+from .common import SPACE, discard, fresh, release, small, written
 
 #: Similarity as a fraction: 4 / 5.
 NUM, DEN = 4, 5
 CELLS = 1 << 16
-_LOW = (1 << 56) - 1
+#: Bits of a token's hash. Two words of a pair of lines fall together about once in 10^10 pairs.
+BITS = 44
+_LOW = (1 << BITS) - 1
 
 
 def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, line, tokens, sid): the lines that have words; tokens as hashes, sid for their set."""
     src = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "t"))
-    words = F.filter(F.split(F.trim("t"), f"[{SPACE}]+"), lambda x: x != "")
-    out = src.select("doc_id", "line", F.sort_array(F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))).alias("tokens"))
+    token = lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - BITS)
+    words = F.transform(F.split("t", f"[{SPACE}]+"), token)
+    out = src.select("doc_id", "line", F.sort_array(F.array_remove(F.array_distinct(words), token(F.lit("")))).alias("tokens"))
     return out.where(F.size("tokens") > 0).withColumn("sid", F.xxhash64("tokens"))
 
 
-def _rarity(rows: DataFrame) -> bytes:
+def token_sets(rows: DataFrame) -> DataFrame:
+    """(sid, tokens, k): the different token sets and how many lines have each."""
+    return rows.groupBy("sid").agg(F.first("tokens").alias("tokens"), F.count("*").alias("k"))
+
+
+def _rarity(sets: DataFrame) -> bytes:
     """For each cell of token hashes, one byte: 1 + log2 of the lines that have such a token."""
-    seen = rows.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(CELLS)).alias("cell")).count()
+    seen = sets.select("k", F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(CELLS)).alias("cell")).agg(F.sum("k").alias("k"))
     table = bytearray(b"\1" * CELLS)
     for cell, n in seen.collect():  # CELLS rows at most
         table[cell] = 1 + int(math.log2(n))
@@ -42,9 +51,9 @@ def _rarity(rows: DataFrame) -> bytes:
 
 
 def _ordered(rarity: bytes) -> F.Column:
-    """The tokens as integers that sort by rarity: its byte, then 56 bits of the hash."""
+    """The tokens as integers that sort by rarity: its byte, then the hash."""
     rank = lambda t: F.ascii(F.substring(F.lit(rarity), F.pmod(t, F.lit(CELLS)).cast("int") + 1, F.lit(1)).cast("string"))
-    return F.sort_array(F.transform("tokens", lambda t: F.shiftleft(rank(t).cast("long"), 56).bitwiseOR(t.bitwiseAND(F.lit(_LOW)))))
+    return F.sort_array(F.transform("tokens", lambda t: F.shiftleft(rank(t).cast("long"), BITS).bitwiseOR(t)))
 
 
 def need(a: str, b: str) -> str:
@@ -52,22 +61,26 @@ def need(a: str, b: str) -> str:
     return f"cast(({NUM} * ({a} + {b}) + {NUM + DEN - 1}) div {NUM + DEN} as int)"
 
 
-def _candidates(rows: DataFrame, rarity: bytes) -> DataFrame:
+def _candidates(sets: DataFrame, rarity: bytes) -> DataFrame:
     """(a, b): different sets, a < b, that pass the prefix, length and positional filters."""
-    t = rows.select("sid", F.size("tokens").alias("n"), _ordered(rarity).alias("o"))
+    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    t = sets.select("sid", F.size("tokens").alias("n"), parity.alias("p"), _ordered(rarity).alias("o"))
     prefix = f"slice(o, 1, cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + 1 as int))"
-    entries = t.select("sid", "n", F.posexplode(F.expr(prefix)).alias("i", "o")).distinct()
-    x = entries.select("o", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    y = entries.select("o", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    near = x.join(y, "o").where(f"a < b and {DEN} * na >= {NUM} * nb and {DEN} * nb >= {NUM} * na and least(na - ia, nb - ib) + least(ia, ib) >= {need('na', 'nb')}")
+    # The rarity has done its work in the order: the index keeps the hash, and size and place as one.
+    entries = t.select("sid", "n", "p", F.posexplode(F.expr(prefix)).alias("i", "o"))
+    entries = entries.select("sid", "p", F.col("o").bitwiseAND(F.lit(_LOW)).alias("o"), F.expr("shiftleft(cast(n as bigint), 32) | i").alias("ni"))
+    side = lambda k: entries.select("o", F.col("sid").alias(k), F.col("p").alias(f"p{k}"), F.shiftright("ni", 32).cast("int").alias(f"n{k}"), F.col("ni").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias(f"i{k}"))
+    x, y = side("a"), side("b")
+    near = x.join(y, "o").where(f"a < b and {DEN} * na >= {NUM} * nb and {DEN} * nb >= {NUM} * na and least(na - ia, nb - ib) + least(ia, ib) >= {need('na', 'nb')} and bit_count(pa ^ pb) <= na + nb - 2 * {need('na', 'nb')}")
     return near.select("a", "b").distinct()
 
 
-def links(rows: DataFrame) -> DataFrame:
+def links(sets: DataFrame) -> DataFrame:
     """(a, b), a < b: the sid of all matching pairs of different token sets; written."""
-    pairs = written(_candidates(rows, _rarity(rows)), "pairs")
+    pairs = written(_candidates(sets, _rarity(sets)), "pairs")
+    release(sets.sparkSession)
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sids")
-    sets = written(rows.select("sid", "tokens").join(small(ids), "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")), "sets")
+    sets = written(sets.select("sid", "tokens").join(small(ids), "sid", "left_semi"), "sets")
     found = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a")
     found = found.join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
     return written(found.where(f"size(array_intersect(ta, tb)) >= {need('size(ta)', 'size(tb)')}").select("a", "b"), "links")
@@ -80,9 +93,12 @@ def later_matches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     Earlier is by doc_id (null last), then by line number; it doesn't matter whether the earlier line
     is itself removed. Lines with equal tokens match. Lines without words are never removed. Rows
     repeated with one doc_id count as one place: they don't remove each other's lines."""
-    rows = lines(docs, text, key)
-    light = written(rows.select(F.col("doc_id").isNull().alias("z"), "doc_id", "line", "sid"), "lines")
-    both = links(rows)
+    rows = written(lines(docs, text, key), "lines")
+    light = written(rows.select(F.col("doc_id").isNull().alias("z"), "doc_id", "line", "sid"), "places")
+    sets = written(token_sets(rows), "sets")
+    discard(rows)
+    release(docs.sparkSession)
+    both = links(sets)
     both = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = written(light.groupBy("sid").agg(F.min(F.struct("z", "doc_id", "line")).alias("first")), "first")
     other = both.join(first, both.b == first.sid).groupBy("a").agg(F.min("first").alias("other"), F.count("*").alias("n"))
