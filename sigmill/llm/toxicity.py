@@ -155,8 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             found = [model.vector(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([i for i, _ in found], pa.list_(pa.int64())), pa.array([v for _, v in found], pa.list_(pa.float64()))], ["doc_id", "p", "i", "v"])
 
-    rows = sample.mapInArrow(run, "doc_id long, p int, i array<long>, v array<double>").toPandas().sort_values(["p", "doc_id"], kind="stable")
-    vectors = [(p, (np.asarray(i, np.int64), np.asarray(v, float))) for p, i, v in zip(rows.p, rows.i, rows.v, strict=True)]
+    t = sample.mapInArrow(run, "doc_id long, p int, i array<long>, v array<double>").toArrow().sort_by([("p", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    found, values = t["i"].combine_chunks(), t["v"].combine_chunks()
+    idx, val, ends = found.values.to_numpy(), values.values.to_numpy(), found.offsets.to_numpy()
+    vectors = [(p, (idx[a:b], val[a:b])) for p, a, b in zip(t["p"].to_pylist(), ends[:-1], ends[1:], strict=True)]
     model.known = {}
     train_nnpu(model, [x for p, x in vectors if p], [x for p, x in vectors if not p], prior)
     return model
