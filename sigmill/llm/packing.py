@@ -7,6 +7,8 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +73,7 @@ class WordIds:
 
     word = re.compile(WORD)
     #: What str.split() cuts at beside ASCII white space.
-    other_space = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    other_space = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
     #: Letters whose lower case is one letter wherever they stand, then marks that are a piece of
     #: their own: such words are learned many at a time, without the marks.
     plain = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+)([.,!?;:|]*)")
@@ -115,42 +117,52 @@ class WordIds:
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         plain, mixed, rest = {}, {}, []
+        wanted, other, marks = set(), set(), set()  # letters that are a new word, letters that may be known, the rest
         for w in new:
-            m = self.plain.fullmatch(w)
-            if m:
-                plain[w] = (m[1].lower(), m[2])
+            if w.isascii() and w.isalpha():
+                a, m = w.lower(), ""
+            elif found := self.plain.fullmatch(w):
+                a, m = found[1].lower(), found[2]
             elif w.isascii() and w.isprintable() and "<|" not in w:
-                mixed[w] = self.pieces.findall(w.lower())
+                mixed[w] = own = self.pieces.findall(w.lower())
+                for x in own:
+                    (other if x.isalpha() else marks).add(x)
+                continue
             else:
                 rest.append(w)
-        letters, marks = {}, {m for _, m in plain.values()}
-        wanted = {a for a, _ in plain.values()}
-        for own in mixed.values():
-            for x in own:
-                (wanted if x.isalpha() else marks).add(x)
-        for a in wanted:  # the same letters may be known as a word
+                continue
+            if a == w:
+                wanted.add(a)
+            else:
+                plain[w] = (a, m)
+                other.add(a)
+                marks.add(m)
+        letters = {}
+        for a in other.difference(wanted):
             raw = self.known.get(a) or self.old.get(a)
             if raw:
                 letters[a] = raw
-        letters.update(self._letters([a for a in wanted if a not in letters]))
+            else:
+                wanted.add(a)
+        letters.update(self._letters(list(wanted)))
         if len(self.marks) > 50_000:
             self.marks = {"": b""}
         self.marks.update(self._each([m for m in marks if m not in self.marks]))
-        get, marks = letters.__getitem__, self.marks
-        found = self._each(rest)
-        found.update((w, get(a) + marks[m]) for w, (a, m) in plain.items())
-        found.update((w, b"".join([letters[x] if x in letters else marks[x] for x in own])) for w, own in mixed.items())
-        found.update(letters)
-        return found
+        marks = self.marks
+        both = self._each(rest)
+        both.update((w, letters[a] + marks[m]) for w, (a, m) in plain.items())
+        both.update((w, b"".join([letters[x] if x in letters else marks[x] for x in own])) for w, own in mixed.items())
+        letters.update(both)
+        return letters
 
     def _split(self, text: str) -> list[str]:
-        return self.word.findall(text) if self.other_space.search(text) else text.split()
+        return self.word.findall(text) if any(c in text for c in self.other_space) else text.split()
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [self._split(t) for t in texts]
         found = [list(map(self.known.get, words)) for words in split]
-        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        gaps = [list(compress(range(len(ids)), map(not_, ids))) for ids in found]
         new: set[str] = set()
         for words, own in zip(split, gaps, strict=True):
             new.update([words[i] for i in own])
