@@ -101,3 +101,25 @@ def components(edges: DataFrame) -> DataFrame:
         new = written(step.where("a <> b").distinct(), "cc")
         discard(e)
         e = new
+
+
+def text_sha(text: str) -> F.Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+
+
+def keep_lowest(docs: DataFrame, rows: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of docs that stay, with their columns: one of each group of rows (root, doc_id, sha), which
+    has a row for each of docs: the smallest key (null last), then the smallest hash of the text.
+
+    Rows are told apart by key and text, so that a null or repeated key takes no other text along."""
+    found = rows.groupBy("root", "doc_id", "sha").agg(F.count("*").alias("n"))
+    found = written(found.withColumn("at", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "sha")), "found")
+    best = written(found.groupBy("root").agg(F.min("at").alias("best")), "best")
+    found = written(found.join(best, "root").select("doc_id", "sha", "n", (F.col("at") == F.col("best")).alias("kept")), "kept")
+    k, h = fresh(docs, "_key", "_sha")
+    own = docs.withColumn(k, F.col(key).cast("long")).withColumn(h, text_sha(text))
+    gone = small(written(found.where("not kept").select(F.col("doc_id").alias(k), F.col("sha").alias(h)), "gone"))
+    out = own.join(gone, own[k].eqNullSafe(gone[k]) & (own[h] == gone[h]), "left_anti")
+    if found.where("kept and n > 1").limit(1).count():
+        out = out.dropDuplicates([k, h])
+    return out.drop(k, h)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, small, written
+from .common import components, fresh, keep_lowest, text_sha, written
 
 BITS = 64
 RADIUS = 2
@@ -47,15 +47,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return _votes(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(words) - shingle + 1))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long). Null and empty texts: 0."""
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, sha: str | None = None) -> DataFrame:
+    """(doc_id, fp long), and sha where that column is named. Null and empty texts: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            cols = [batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "sha"][: len(cols)])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.col(sha).alias("sha")] if sha else []))
+    return src.mapInArrow(run, "doc_id long, fp long" + (", sha string" if sha else ""))
 
 
 def _signed(x: int) -> int:
@@ -143,30 +145,26 @@ def links(fps: DataFrame) -> DataFrame:
     return rows.repartition("s", "k").sortWithinPartitions("s", "k").mapInArrow(run, "a long, b long")
 
 
-def clusters(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id (the smallest doc_id that links reach).
+def clusters(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, sha: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, fp, component_id (the smallest doc_id that links reach); with
+    sha, that column and root (the component's own name, where doc_ids are null or repeated) too.
 
     Documents link when their fingerprints differ in at most 2 bits; equal fingerprints link, so all
     empty (and null) texts are one component. Repeated rows come as often as in docs, null doc_ids
     never become a component_id unless a component has no other; an empty table stays empty."""
-    own = written(fingerprints(docs, text, key, shingle), "fps")
+    own = written(fingerprints(docs, text, key, shingle, sha), "fps")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     star = components(links(nodes.select("fp")))
     root = nodes.join(star, nodes.fp == star.a, "left").select("fp", "low", F.coalesce("b", "fp").alias("root"))
     root = written(root, "roots")
     low = root.groupBy("root").agg(F.min("low").alias("component_id"))
-    root = root.join(low, "root").select("fp", "component_id")
-    return own.join(root, "fp").select("doc_id", "fp", "component_id")
+    root = root.join(low, "root").select("fp", "component_id", "root")
+    return own.join(root, "fp").select("doc_id", "fp", "component_id", *(["sha", "root"] if sha else []))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs that stay, with their columns: of each component, the row with the smallest
-    key. Of rows repeated with that key, one stays."""
-    found = written(clusters(docs, text, key, shingle), "clusters")
-    (k,) = fresh(docs, "_key")
-    gone = small(written(found.where("not doc_id <=> component_id").select(F.col("doc_id").alias(k)).distinct(), "gone"))
-    own = docs.withColumn(k, F.col(key).cast("long"))
-    out = own.join(gone, own[k].eqNullSafe(gone[k]), "left_anti")
-    if found.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([k])
-    return out.drop(k)
+    key. Rows with one key and different texts are judged one by one; null keys too."""
+    (h,) = fresh(docs, "_sha")
+    found = clusters(docs.withColumn(h, text_sha(text)), text, key, shingle, h)
+    return keep_lowest(docs, found.select("root", "doc_id", "sha"), text, key)

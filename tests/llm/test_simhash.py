@@ -97,6 +97,14 @@ def test_near_dedup(spark):
     assert got(out, "doc_id") == [(3,), (4,), (7,)]
 
 
+def test_near_dedup_null_and_repeated_keys(spark):
+    rng = random.Random(4)
+    x, y, z, u, v, w = (prose(rng, 80) for _ in range(6))
+    rows = [(1, x), (None, x.upper()), (None, y), (None, z), (2, u), (2, v), (3, x + " "), (3, w), (4, w), (4, w)]
+    out = got(S.near_dedup(docs(spark, rows)), "doc_id", "text")
+    assert out == sorted([(1, x), (None, y), (None, z), (2, u), (2, v), (3, w)], key=repr)
+
+
 def test_empty_table(spark):
     d = spark.createDataFrame([], DOCS)
     assert S.clusters(d).count() == 0 and S.near_dedup(d).count() == 0
