@@ -68,6 +68,21 @@ def test_fullest_closes_first():
     assert b.place(4) == (0, 6)
 
 
+def test_a_full_piece_closes_no_bin():
+    b = P.Bins(4096, 2)
+    assert [b.place(n) for n in (2000, 3000, 4096, 2096)] == [(0, 0), (1, 0), (2, 0), (0, 2000)]
+
+
+def test_any_other_vocabulary_is_encoded_as_it_is(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "Two  words"), (2, None), (3, "a\nB")]
+    t = Tokenizer.from_file(path)
+    out = {r["doc_id"]: r["ids"] for r in P.pack(docs(spark, rows), path).collect()}
+    assert out == {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in rows}
+
+
 def test_best_fit_against_a_list():
     rng = random.Random(6)
     b, free = P.Bins(50, 10**9), {}
