@@ -8,6 +8,7 @@ import logging
 from pyspark.sql import SparkSession
 
 from .plans.analyze import timbre_space
+from .plans.run import Run
 from .settings import Settings
 from .sources.wave import read_wav, whole
 
@@ -32,9 +33,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("sigmill").getOrCreate()
     waves = whole(read_wav(spark, args.path))
     rates = [r[0] for r in waves.select("sample_rate").distinct().collect()]
-    for rate in rates:
+    for k, rate in enumerate(rates):  # a second call replaces the first one's result
         out = timbre_space(waves.where(waves.sample_rate == rate), rate, s)
-        out.write.mode("append").parquet(args.out)
+        run = Run(spark, lambda out=out, k=k: out.write.mode("append" if k else "overwrite").parquet(args.out))
+        while not run.wait(5):
+            logging.info("%.0f Hz: %.0f %%", rate, 100 * run.progress())
+        run.result()
     logging.info("complete: %s", args.out)
     return 0
 

@@ -50,10 +50,9 @@ def bark_to_hz(z):
 def bark_filterbank(bins: int, sample_rate: float, bands: int = 40, low: float = 500.0, high: float = 4000.0, normalize: str = "unit_sum", weighting: str = "warping") -> np.ndarray:
     """bands x bins triangles whose edges are evenly spaced in Bark. weighting: the sides are straight in
     Bark (warping) or in Hz (linear)."""
-    edges = bark_to_hz(np.linspace(hz_to_bark(low), hz_to_bark(high), bands + 2))
-    f = np.arange(bins) * (sample_rate / 2) / max(bins - 1, 1)
-    warp = hz_to_bark if weighting == "warping" else np.asarray
-    g, e = warp(f), warp(edges)
+    e = np.linspace(hz_to_bark(low), hz_to_bark(high), bands + 2)
+    g = np.arange(bins) * (sample_rate / 2) / max(bins - 1, 1)
+    g, e = (hz_to_bark(g), e) if weighting == "warping" else (g, bark_to_hz(e))
     up = (g[None, :] - e[:-2, None]) / (e[1:-1] - e[:-2])[:, None]
     down = (e[2:, None] - g[None, :]) / (e[2:] - e[1:-1])[:, None]
     w = np.clip(np.minimum(up, down), 0, None)
@@ -202,24 +201,64 @@ def resample(x: np.ndarray, rate: float, target: float = 44100.0, half: int = 16
     return out
 
 
+#: The published equal-loudness design (Robinson 2001) by sample rate: b and a of the
+#: tenth-order filter, then b and a of the high-pass of second order behind it.
+EQUAL_LOUDNESS = {
+    44100: (
+        (0.05418656406430, -0.02911007808948, -0.00848709379851, -0.00851165645469, -0.00834990904936, 0.02245293253339, -0.02596338512915, 0.01624864962975, -0.00240879051584, 0.00674613682247, -0.00187763777362),
+        (1.0, -3.47845948550071, 6.36317777566148, -8.54751527471874, 9.47693607801280, -8.81498681370155, 6.85401540936998, -4.39470996079559, 2.19611684890774, -0.75104302451432, 0.13149317958808),
+        (0.98500175787242, -1.97000351574484, 0.98500175787242),
+        (1.0, -1.96977855582618, 0.97022847566350),
+    ),
+    48000: (
+        (0.03857599435200, -0.02160367184185, -0.00123395316851, -0.00009291677959, -0.01655260341619, 0.02161526843274, -0.02074045215285, 0.00594298065125, 0.00306428023191, 0.00012025322027, 0.00288463683916),
+        (1.0, -3.84664617118067, 7.81501653005538, -11.34170355132042, 13.05504219327545, -12.28759895145294, 9.48293806319790, -5.87257861775999, 2.75465861874613, -0.86984376593551, 0.13919314567432),
+        (0.98621192462708, -1.97242384925416, 0.98621192462708),
+        (1.0, -1.97223372919527, 0.97261396931306),
+    ),
+}
+
+
+def recursive_filter(b, a, x: np.ndarray, block: int = 256) -> np.ndarray:
+    """y[n] = sum of b[k] x[n - k] less the sum of a[k] y[n - k] from k = 1 on; a[0] is 1. Within a block
+    by the impulse response of 1 / a, for all blocks at once; only the last outputs go from block to block."""
+    x, a = np.asarray(x, float), np.asarray(a, float)
+    n, p = len(x), len(a) - 1
+    if not n:
+        return x
+    size = max(min(block, n), p)
+    h = np.zeros(size)
+    for i in range(size):
+        h[i] = (i == 0) - a[1 : min(i, p) + 1] @ h[max(i - p, 0) : i][::-1]
+    lag = np.arange(size)[:, None] - np.arange(size)[None, :]
+    response = np.where(lag >= 0, h[np.maximum(lag, 0)], 0.0)
+    past = np.array([[-a[m + 1 + j] if m + 1 + j <= p else 0.0 for j in range(p)] for m in range(p)])
+    free = response[:, :p] @ past  # of the outputs before, the last one first
+    u = np.zeros(-(-n // size) * size)
+    u[:n] = np.convolve(x, b)[:n]
+    y = u.reshape(-1, size) @ response.T
+    state = np.zeros(p)
+    for row in y:
+        row += free @ state
+        state = row[: -p - 1 : -1]
+    return y.ravel()[:n]
+
+
 def equal_loudness(x: np.ndarray, rate: float = 44100.0) -> np.ndarray:
-    """High-pass of second order at 150 Hz followed by a gentle presence shelf: an approximation of the
-    inverse equal-loudness contour (Robinson 2001 describes the exact tenth-order design)."""
-    k = np.tan(np.pi * 150.0 / rate)
-    norm = 1 / (1 + k * np.sqrt(2) + k * k)
-    b0, a1, a2 = norm, 2 * (k * k - 1) * norm, (1 - k * np.sqrt(2) + k * k) * norm
-    out = np.empty(len(x))
-    x1 = x2 = y1 = y2 = 0.0
-    for i, v in enumerate(np.asarray(x, float).tolist()):
-        y = b0 * (v - 2 * x1 + x2) - a1 * y1 - a2 * y2
-        x2, x1, y2, y1 = x1, v, y1, y
-        out[i] = y
-    return out
+    """The inverse of the equal-loudness contour: two filters in series, from rest. Waves of other rates
+    than those of the published tables are filtered at 44.1 kHz and brought back."""
+    if rate not in EQUAL_LOUDNESS:
+        x = np.asarray(x, float)
+        y = resample(equal_loudness(resample(x, rate, 44100.0)), 44100.0, rate)
+        return np.concatenate([y, np.zeros(max(0, len(x) - len(y)))])[: len(x)]
+    b, a, b2, a2 = EQUAL_LOUDNESS[rate]
+    return recursive_filter(b2, a2, recursive_filter(b, a, x))
 
 
 def bic_segments(features: np.ndarray, cpw: float = 1.5, size1: int = 300, inc1: int = 60, size2: int = 200, inc2: int = 20, min_length: int = 10) -> list[int]:
     """Change points of rows of features, by the Bayesian information criterion (Chen and Gopalakrishnan
-    1998): windows of size1 searched by inc1, each change then refined in size2 by inc2."""
+    1998): windows of size1 are tried at every inc1-th place, a change is then tried again in size2 around
+    it at every inc2-th; a window without one grows by inc1."""
     x = np.asarray(features, float)
     n, d = x.shape
 
@@ -239,11 +278,11 @@ def bic_segments(features: np.ndarray, cpw: float = 1.5, size1: int = 300, inc1:
     out, i = [], 0
     j = min(n, size1)
     while j - i >= 2 * min_length:
-        _, k = best(i, j, max(1, min(inc1, min_length)))
+        _, k = best(i, j, max(1, inc1))
         if k >= 0:
             a, b = max(i, k - size2 // 2), min(n, k + size2 // 2)
             if b - a >= 2 * min_length:
-                _, fine = best(a, b, max(1, min(inc2, min_length)))
+                _, fine = best(a, b, max(1, inc2))
                 k = fine if fine > i else k
             out.append(k)
             i, j = k, min(n, k + size1)

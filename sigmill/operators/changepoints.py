@@ -10,7 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..settings import SBic
+from ..settings import SBic, Settings
+from . import framing
+
+
+def cepstra(waves: DataFrame, key: str, samples: str, rate: float, settings: Settings | None = None) -> DataFrame:
+    """(key, frame_idx, cepstra) of waves: the features that bic() searches, by the analysis's frames,
+    taper and Bark bands."""
+    s = settings or Settings()
+    b = s.BFCC
+    bank = {"bands": b.numBands, "low": b.lowFrequencyBound, "high": b.highFrequencyBound, "normalize": b.normalize, "weighting": b.weightingType}
+
+    def kernel(m):
+        x = K.spectrum(K.tapered(m, s.Analysis.windowingType), b.spectrumType)
+        return {"cepstra": K.bfcc(x, rate, b.numCoefficients, b.liftering, b.dctType, b.spectrumType, **bank)}
+
+    f = framing.frames(waves, [key], samples, s.Analysis.frameSize, s.Analysis.hopSize)
+    return framing.map_frames(f, [key, "frame_idx"], "frame", {"cepstra": "array<double>"}, kernel)
 
 
 def bic(rows: DataFrame, key: str, order: str, features: str, settings: SBic | None = None) -> DataFrame:

@@ -73,12 +73,13 @@ def combine(rows: DataFrame, keys: list[str], columns: list[str], weights: list[
     out of the plan."""
     if not sum(weights) > 0:
         raise ValueError("the detectors' weights are all zero")
-    w = Window.partitionBy(*keys)
-    parts = [F.coalesce(F.try_divide(F.col(c), F.max(c).over(w)), F.lit(0.0)) * F.lit(float(k)) for c, k in zip(columns, weights, strict=True) if k > 0]
+    used = [(c, k) for c, k in zip(columns, weights, strict=True) if k > 0]
+    top = rows.groupBy(*keys).agg(*[F.max(c).alias(f"_top{i}") for i, (c, _) in enumerate(used)])
+    parts = [F.coalesce(F.try_divide(F.col(c), F.col(f"_top{i}")), F.lit(0.0)) * F.lit(float(k)) for i, (c, k) in enumerate(used)]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    return rows.withColumn("strength", total / F.lit(float(sum(weights))))
+    return rows.join(top, keys).select(*rows.columns, (total / F.lit(float(sum(weights)))).alias("strength"))
 
 
 def peak_pick(rows: DataFrame, keys: list[str], order: str, x: str, alpha: float = 0.1, delay: int = 5, silence: float = 0.1, rate: float = 44100.0 / 512) -> DataFrame:

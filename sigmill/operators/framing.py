@@ -25,6 +25,14 @@ def frames(signals: DataFrame, keys: list[str], samples: str, size: int, hop: in
     return signals.where(n > 0).select(*keys, F.posexplode(cut).alias("frame_idx", "frame"))
 
 
+def onset_frames(signals: DataFrame, keys: list[str], samples: str, size: int, hop: int = 512) -> DataFrame:
+    """(keys, frame_idx, frame) as detectors take them: 512 to 2048 samples, the first frame centred on
+    sample 0."""
+    n = min(max(size, 512), 2048)
+    centred = signals.select(*keys, F.concat(F.array_repeat(F.lit(0.0), n // 2), F.col(samples).cast("array<double>")).alias(samples))
+    return frames(centred, keys, samples, n, hop)
+
+
 def weighted(frame: str, kind: str, size: int, pad: bool = False, normalized: bool = False) -> Column:
     w = F.array(*[F.lit(float(x)) for x in taper(kind, size, normalized)])
     out = F.zip_with(F.col(frame), w, lambda x, y: x * y)

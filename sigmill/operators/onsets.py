@@ -1,7 +1,7 @@
 """Onset lists: grids, minimum gaps, subdivision, minimum counts, density, normalisation.
 
 Rows are (keys, onset_s). What needs only neighbours is a window; what depends on the last onset
-kept is a fold over one signal's sorted onsets.
+kept is one pass over sorted rows; only lists shorter than a wanted minimum are folded as arrays.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ ARRAY = "array<double>"
 
 
 def length_seconds(n_samples, sample_rate) -> Column:
-    return F.col(n_samples).cast("double") / F.col(sample_rate).cast("double")
+    n, rate = (x if isinstance(x, Column) else F.col(x) for x in (n_samples, sample_rate))
+    return n.cast("double") / rate.cast("double")
 
 
 def uniform_grid(signals: DataFrame, keys: list[str], length: str, step: float = STEP) -> DataFrame:
@@ -45,19 +46,21 @@ def exploded(lists: DataFrame, keys: list[str]) -> DataFrame:
     return lists.select(*keys, F.posexplode("onsets").alias("event_idx", "onset_s"))
 
 
-def keep_gaps(onsets: str, gap: float) -> Column:
-    """An onset stays if it lies at least gap after the last one that stayed."""
-    return F.expr(f"aggregate({onsets}, cast(array() as {ARRAY}), (acc, x) -> case when size(acc) = 0 or x - element_at(acc, -1) >= {float(gap)}D then concat(acc, array(x)) else acc end)")
+def numbered(onsets: DataFrame, keys: list[str], x: str = "onset_s") -> DataFrame:
+    """(keys, event_idx, onset_s) in the order of time."""
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(x)) - 1
+    return onsets.select(*keys, at.alias("event_idx"), F.col(x).alias("onset_s"))
 
 
 def min_gap_dedup(onsets: DataFrame, keys: list[str], gap: float = MIN_GAP, length: float | None = None) -> DataFrame:
+    """(keys, event_idx, onset_s): an onset stays if it lies at least gap after the last one that stayed."""
     rows = onsets if length is None else tail_filter(onsets, length, gap)
-    return exploded(gathered(rows, keys).withColumn("onsets", keep_gaps("onsets", gap)), keys)
+    return numbered(min_gap_stream(rows, keys, gap), keys)
 
 
 def min_gap_stream(onsets: DataFrame, keys: list[str], gap: float = MIN_GAP, x: str = "onset_s") -> DataFrame:
-    """min_gap_dedup() for signals with very many onsets: (keys, onset_s) by one pass over sorted rows, which
-    holds the last onset kept instead of a signal's list. Signals are dealt over tasks whole."""
+    """(keys, onset_s) of what min_gap_dedup() keeps, by one pass over sorted rows, which holds the last
+    onset kept and no list. Signals are dealt over tasks whole."""
     src = onsets.select(*keys, F.col(x).cast("double").alias("onset_s"))
     n = len(keys)
 
@@ -98,11 +101,15 @@ def filled(onsets: str, least: int, length: float) -> Column:
 
 
 def min_count_fill(onsets: DataFrame, keys: list[str], least: int, length: float, everyone: DataFrame | None = None) -> DataFrame:
-    """everyone: the keys of all signals, where signals without onsets count too."""
-    lists = gathered(onsets, keys)
+    """(keys, event_idx, onset_s) with at least `least` onsets per signal; only signals with fewer are
+    gathered. everyone: the keys of all signals, where signals without onsets count too."""
+    rows = onsets.select(*keys, "onset_s", F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
+    lists = gathered(rows.where(F.col("_n") < least), keys)
     if everyone is not None:
-        lists = everyone.join(lists, keys, "left").withColumn("onsets", F.coalesce("onsets", F.expr(f"cast(array() as {ARRAY})")))
-    return exploded(lists.withColumn("onsets", filled("onsets", least, length)), keys)
+        none = everyone.join(onsets.select(*keys).distinct(), keys, "left_anti")
+        lists = lists.unionByName(none.select(*keys, F.expr(f"cast(array() as {ARRAY})").alias("onsets")))
+    few = exploded(lists.withColumn("onsets", filled("onsets", least, length)), keys)
+    return numbered(rows.where(F.col("_n") >= least), keys).union(few)
 
 
 def equalize_density(onsets: DataFrame, keys: list[str], length: float, x: str = "onset_s") -> DataFrame:
@@ -134,6 +141,5 @@ def denormalize(onsets: DataFrame, length: float | Column, x: str = "onset_norm"
 
 def pipeline(onsets: DataFrame, keys: list[str], length: float, gap: float = MIN_GAP, least: int = 4) -> DataFrame:
     """Tail filter, minimum gap, minimum count, then both the seconds and the normalised onsets."""
-    lists = gathered(tail_filter(onsets, length, gap), keys)
-    lists = lists.withColumn("onsets", keep_gaps("onsets", gap)).withColumn("onsets", filled("onsets", least, length))
-    return normalize(exploded(lists, keys), length)
+    kept = min_gap_dedup(onsets, keys, gap, length).drop("event_idx")
+    return normalize(min_count_fill(kept, keys, least, length), length)

@@ -8,6 +8,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stats import project
+
 
 def covariance(rows: DataFrame, features: list[str]) -> DataFrame:
     """(i, j, covariance) of all pairs i <= j, in one pass."""
@@ -33,3 +35,9 @@ def pca(rows: DataFrame, keys: list[str], features: list[str] | str, k: int = 6)
     sign = np.sign(load[np.abs(load).argmax(axis=0), range(load.shape[1])])
     signs = F.array(*[F.lit(float(s or 1.0)) for s in sign])
     return model.transform(centred).select(*keys, F.zip_with(vector_to_array("_p"), signs, lambda a, b: a * b).alias("pc"))
+
+
+def pca_of_statistic(events: DataFrame, keys: list[str], features: list[str], statistic: str, k: int = 6) -> DataFrame:
+    """(keys, pc array) of one statistic of chosen features (stats.event_statistics()) over all events;
+    events where it isn't defined drop out; fewer than 2: an empty table."""
+    return pca(project(events, keys, features, statistic), keys, features, k)

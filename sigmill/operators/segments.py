@@ -36,12 +36,16 @@ def fade(samples: str, n_in: int, n_out: int) -> Column:
 
 def split(waves: DataFrame, events: DataFrame, keys: list[str], samples: str, sample_rate: str, n_in: int = 5, n_out: int = 5) -> DataFrame:
     """(keys, event_idx, start_s, end_s, samples): each event's samples, faded. A wave with one event
-    stays whole, without fades; samples before the first event drop out. waves: one row per key."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    rows = events.withColumn("_n", n).join(waves, keys)
-    first = F.round(F.col("start_s") * F.col(sample_rate)).cast("int")
-    stop = F.round(F.col("end_s") * F.col(sample_rate)).cast("int")
-    last = F.max("event_idx").over(Window.partitionBy(*keys)) == F.col("event_idx")
-    rows = rows.withColumn("_i", first).withColumn("_j", F.when(last, F.size(samples)).otherwise(stop))
-    rows = rows.withColumn("_w", F.slice(F.col(samples), F.col("_i") + 1, F.greatest(F.col("_j") - F.col("_i"), F.lit(0))))
-    return rows.select(*keys, "event_idx", "start_s", "end_s", F.when(F.col("_n") == 1, F.col(samples).cast("array<double>")).otherwise(fade("_w", n_in, n_out)).alias("samples"))
+    stays whole, without fades; samples before the first event drop out, and the last event runs to the
+    end of the wave, wherever its bound lies. waves: one row per key.
+
+    The bounds, a few numbers per event, are gathered per wave before the join, so that each wave is
+    read once and cut in place; no window or exchange holds a wave more than once."""
+    e = events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("event_idx", "start_s", "end_s"))).alias("_e"))
+    rows = e.join(waves.select(*keys, F.col(samples).cast("array<double>").alias("_x"), F.col(sample_rate).alias("_r")), keys)
+    stop = "case when _i = size(_e) - 1 then size(_x) else cast(round(_v.end_s * _r) as int) end"
+    first = "cast(round(_v.start_s * _r) as int)"
+    whole = "case when size(_e) = 1 then _x else slice(_x, {f} + 1, greatest({s} - {f}, 0)) end".format(f=first, s=stop)
+    cut = F.expr(f"transform(_e, (_v, _i) -> named_struct('event_idx', _v.event_idx, 'start_s', _v.start_s, 'end_s', _v.end_s, 'w', {whole}, 'one', size(_e) = 1))")
+    out = rows.select(*keys, F.explode(cut).alias("_v")).select(*keys, "_v.event_idx", "_v.start_s", "_v.end_s", F.col("_v.w").alias("_w"), F.col("_v.one").alias("_one"))
+    return out.select(*keys, "event_idx", "start_s", "end_s", F.when(F.col("_one"), F.col("_w")).otherwise(fade("_w", n_in, n_out)).alias("samples"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -25,9 +25,7 @@ def find_onsets(waves: DataFrame, s: Settings, rate: float) -> DataFrame:
     w = s.Onset.weights()
     if rate != RATE:  # detectors work at one rate, times don't depend on it
         waves, rate = conditioning.resample(waves, ["signal_id"], "samples", rate, RATE), RATE
-    size = min(max(s.Analysis.frameSize, 512), 2048)
-    centred = waves.select("signal_id", F.concat(F.array_repeat(F.lit(0.0), size // 2), F.col("samples").cast("array<double>")).alias("samples"))
-    f = framing.frames(centred, ["signal_id"], "samples", size, HOP)
+    f = framing.onset_frames(waves, ["signal_id"], "samples", s.Analysis.frameSize, HOP)
 
     def kernel(m):
         mag, phase = K.polar(K.tapered(m, "hamming", normalized=True))
@@ -42,14 +40,15 @@ def find_onsets(waves: DataFrame, s: Settings, rate: float) -> DataFrame:
 def prepare(waves: DataFrame, s: Settings, rate: float) -> DataFrame:
     """(signal_id, event_idx, onset_s, onset_norm): tail filter, minimum gap, at least 4."""
     found = find_onsets(waves, s, rate)
-    n = waves.select("signal_id", (F.size("samples") / F.lit(rate)).alias("length"))
+    n = waves.select("signal_id", onsets.length_seconds(F.size("samples"), F.lit(rate)).alias("length"))
     found = found.join(n, "signal_id").where(F.col("onset_s") <= F.col("length") - onsets.MIN_GAP)
-    lists = found.groupBy("signal_id", "length").agg(F.sort_array(F.collect_list("onset_s")).alias("onsets"))
-    lists = lists.withColumn("onsets", onsets.keep_gaps("onsets", onsets.MIN_GAP))
-    halved = onsets.filled("onsets", 4, 1.0)  # on the scale of the length
-    lists = lists.withColumn("whole", F.col("onsets")).withColumn("onsets", F.transform("onsets", lambda x: x / F.col("length"))).withColumn("onsets", halved)
-    lists = lists.withColumn("onsets", F.expr("case when size(whole) >= 4 then whole else transform(onsets, x -> x * length) end"))
-    out = lists.select("signal_id", "length", F.posexplode("onsets").alias("event_idx", "onset_s"))
+    kept = onsets.min_gap_stream(found, ["signal_id"], onsets.MIN_GAP).join(n, "signal_id")
+    # Short lists are filled on the scale of the length.
+    count = F.count("*").over(Window.partitionBy("signal_id"))
+    kept = kept.withColumn("few", count < 4).withColumn("x", F.when(F.col("few"), F.col("onset_s") / F.col("length")).otherwise(F.col("onset_s")))
+    out = onsets.min_count_fill(kept.select("signal_id", F.col("x").alias("onset_s")), ["signal_id"], 4, 1.0)
+    few = kept.select("signal_id", "length", "few").distinct()
+    out = out.join(few, "signal_id").withColumn("onset_s", F.when(F.col("few"), F.col("onset_s") * F.col("length")).otherwise(F.col("onset_s")))
     return out.select("signal_id", "event_idx", "onset_s", (F.col("onset_s") / F.col("length")).alias("onset_norm"))
 
 
@@ -83,9 +82,10 @@ def frame_features(events: DataFrame, s: Settings, rate: float) -> DataFrame:
                 made = [K.centroid(spec, top), K.decrease(spec, top), K.flatness(spec), K.crest(spec), K.complexity(spec, s.SpectralComplexity.magnitudeThreshold), K.strong_peak(spec)]
                 cols = [*(c[:, i] for i in range(13)), *made, sure, loud, K.hz_to_midi(hz)]
                 n = len(m)
-                yield pa.RecordBatch.from_arrays([pa.array([sid] * n), pa.array([idx] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), *[pa.array(v, from_pandas=True) for v in cols]], [*KEYS, "frame_idx", *names])
+                yield pa.RecordBatch.from_arrays([pa.array([sid] * n, batch.schema.field(0).type), pa.array([idx] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), *[pa.array(v, from_pandas=True) for v in cols]], [*KEYS, "frame_idx", *names])
 
-    schema = "signal_id string, event_idx int, frame_idx int, " + ", ".join(f"{n} double" for n in names)
+    kind = src.schema["signal_id"].dataType.simpleString()
+    schema = f"signal_id {kind}, event_idx int, frame_idx int, " + ", ".join(f"{n} double" for n in names)
     return src.mapInArrow(run, schema)
 
 

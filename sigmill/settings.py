@@ -173,6 +173,16 @@ class Settings:
         return replace(self, **{b: replace(getattr(self, b), **v) for b, v in branches.items()})
 
 
+def specification() -> list[tuple]:
+    """(branch, name, default as text, low, high, whether a power of two) of each setting."""
+    out = []
+    for branch in fields(Settings):
+        for f in fields(branch.default_factory):
+            m = f.metadata
+            out.append((branch.name, f.name, str(f.default), *(None if m.get(k) is None else float(m[k]) for k in ("low", "high")), bool(m.get("power_of_two"))))
+    return out
+
+
 def nearest_power_of_two(x: float, low: int, high: int) -> int:
     """The power of two nearest to x on a logarithmic scale, within the range."""
     import math

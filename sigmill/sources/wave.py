@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import logging
 import math
+import re
+import uuid
 import wave
 from collections.abc import Iterator
 
@@ -53,16 +55,29 @@ def encode(samples, rate: float, bits: int = 24) -> bytes:
     return out.getvalue()
 
 
-def read_wav(spark: SparkSession, path: str, permissive: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """Signals of WAV files, in chunks. permissive: files that can't be read become a row without samples;
-    else they are an error."""
+def fixed_part(path: str) -> str:
+    """The folders of a path before its first pattern, or before the file that it names."""
+    head = re.split(r"[*?\[{]", path, maxsplit=1)[0]
+    return head if head == path and not path.lower().endswith(".wav") else head.rsplit("/", 1)[0]
+
+
+def identity(path: str, root: str) -> str:
+    """A file's path below the folder `root`, without its suffix: files of one name in several folders
+    stay apart."""
+    plain = lambda x: re.sub(r"^[a-z0-9]+:/*", "/", x).rstrip("/")
+    p, r = plain(path), plain(root)
+    return (p[len(r) + 1 :] if p.startswith(f"{r}/") else p).rsplit(".", 1)[0]
+
+
+def decoded(files: DataFrame, root: str = "", permissive: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Signals of (path, content), in chunks; see read_wav()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SIGNALS.split(", ")]
         kinds = [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float32())]
         for b in batches:
             for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sid = p.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                sid = identity(p, root)
                 try:
                     x, rate, bits = decode(data)
                 except (wave.Error, EOFError, ValueError) as e:
@@ -74,10 +89,16 @@ def read_wav(spark: SparkSession, path: str, permissive: bool = False, chunk: in
                     rows = [(sid, p, rate, bits, len(x), k, at, x[at : at + chunk]) for k, at in enumerate(range(0, max(len(x), 1), chunk))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
     return files.select("path", "content").mapInArrow(run, SIGNALS)
 
 
+def read_wav(spark: SparkSession, path: str, permissive: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Signals of WAV files (.wav in any case), in chunks, named by their path below the fixed part of
+    `path`. permissive: files that can't be read become a row without samples; else they are an error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[wW][aA][vV]").load(path)
+    return decoded(files, fixed_part(path), permissive, chunk)
+
+
 def whole(signals: DataFrame) -> DataFrame:
     """One row per signal, its chunks joined; signals without samples drop out."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct("chunk_idx", "samples"))), lambda p: p["samples"])
@@ -104,29 +125,38 @@ def audio_hash(samples: str) -> F.Column:
     return F.sha2(F.array_join(F.transform(samples, lambda x: x.cast("string")), ",").cast("binary"), 256)
 
 
-def events_as_wav(events: DataFrame, base: str, bits: int = 24) -> DataFrame:
-    """(path, content) of events (signal_id, event_idx, samples, sample_rate): <base>/<signal>_<idx>.wav,
-    as rows, which any sink may write."""
-    src = events.select("signal_id", "event_idx", "samples", "sample_rate")
+def events_as_wav(events: DataFrame, base: str, bits: int = 24, settings_hash: str = "") -> DataFrame:
+    """(path, content) of events (signal_id, event_idx, samples, sample_rate):
+    <base><settings_hash>/<signal>_<idx>.wav, where folders in a signal's name become folders."""
+    src = events.select(F.col("signal_id").cast("string"), "event_idx", "samples", "sample_rate")
+    folder = f"{base}{settings_hash}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
-            made = [(f"{base}/{s}_{i}.wav", encode(x, rate, bits)) for s, i, x, rate in rows]
+            made = [(f"{folder}/{s}_{i}.wav", encode(x, rate, bits)) for s, i, x, rate in rows]
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.binary())], ["path", "content"])
 
     return src.mapInArrow(run, "path string, content binary")
 
 
-def write_wav(events: DataFrame, base: str, bits: int = 24) -> int:
-    """Writes the files through Hadoop's file system, from the driver row by row: for exports, not for
-    large tables. Returns how many there are."""
-    spark = events.sparkSession
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    for row in events_as_wav(events, base, bits).toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(row["path"])
-        out = path.getFileSystem(conf).create(path, True)
-        out.write(bytearray(row["content"]))
-        out.close()
-        n += 1
-    return n
+def write_wav(events: DataFrame, base: str, bits: int = 24, settings_hash: str = "") -> int:
+    """Writes the files in the tasks that make them; returns how many there are. base: a folder, or a URI
+    that pyarrow's file systems open, which all executors reach. A file appears under its name only when
+    it is whole, so that a task that runs again does no harm."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                part = f"{name}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as out:
+                    out.write(data)
+                system.move(part, name)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    made = events_as_wav(events, base, bits, settings_hash).mapInArrow(put, "n long")
+    return int(made.agg(F.sum("n")).first()[0] or 0)

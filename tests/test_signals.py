@@ -147,6 +147,45 @@ def test_event_files(spark, tmp_path):
     assert [(r["signal_id"], len(r["samples"]), r["bit_depth"]) for r in back] == [("s_0", 2, 24), ("s_1", 1, 24)]
 
 
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for folder, n in (("a", 10), ("b", 20)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "kick.WAV").write_bytes(W.encode(np.zeros(n), RATE, 16))
+    out = W.whole(W.read_wav(spark, f"{tmp_path}/*"))
+    assert sorted((r["signal_id"], r["n_samples"]) for r in out.collect()) == [("a/kick", 10), ("b/kick", 20)]
+    e = out.select("signal_id", F.lit(0).alias("event_idx"), "samples", "sample_rate")
+    assert W.write_wav(e, f"{tmp_path}/out-", settings_hash="abc") == 2
+    assert W.write_wav(e, f"{tmp_path}/out-", settings_hash="abc") == 2  # once more: the same files
+    assert sorted(p.relative_to(tmp_path).as_posix() for p in tmp_path.glob("out-abc/**/*") if p.is_file()) == ["out-abc/a/kick_0.wav", "out-abc/b/kick_0.wav"]
+
+
+def test_a_wave_passes_no_window(spark):
+    w = spark.createDataFrame([("a", [1.0] * 10, 10.0)], "k string, x array<double>, r double")
+    out = segments.split(w, segments.bounds(rows(spark, 0.2, 0.6), ["k"], 0.9), ["k"], "x", "r")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "_x" not in "".join(x for x in plan.split("\n") if "Window" in x)
+
+
+def test_background_run(spark):
+    import time
+
+    from sigmill.plans.run import Run, counted
+
+    df, seen = counted(spark.range(1000))
+    run = Run(spark, lambda: df.write.format("noop").mode("overwrite").save() or "ended")
+    assert run.result() == "ended" and run.progress() == 1 and seen.get["done"] == 1000
+    with pytest.raises(ZeroDivisionError):
+        Run(spark, lambda: 1 / 0).result()
+    slow = spark.range(0, 64, 1, 64).selectExpr("reflect('java.lang.Thread', 'sleep', 2000L)")
+    run = Run(spark, lambda: slow.write.format("noop").mode("overwrite").save())
+    time.sleep(1.5)
+    assert not run.wait(0.1) and run.progress() < 1
+    run.cancel()
+    assert run.wait(30)
+    with pytest.raises(Exception):  # noqa: B017
+        run.result()
+
+
 def bursts():
     rng = np.random.default_rng(4)
     x = np.zeros(int(2 * RATE))
