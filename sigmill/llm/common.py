@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +58,28 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.7)
 
 
+def give_back() -> None:
+    """At the end of a Python task: return freed memory to the system. Workers are reused, and what they
+    hold on to would count against the executor in all later steps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(run):
+    """run, a function of Arrow batches, with give_back() after the last of them."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df does not have yet (case-insensitively)."""
     have = {c.lower() for c in df.columns}

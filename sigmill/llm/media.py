@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import giving_back
+
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of compressed data in one IDAT chunk.
@@ -144,6 +146,7 @@ READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 def to_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as PNG. Null: empty, which is one row of zeros."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -158,6 +161,7 @@ def to_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 def read_media(media: DataFrame) -> DataFrame:
     """Digests and feature (hex of cosine_hash) of a table (doc_id, n_bytes, media), from the stored bytes."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -296,5 +296,6 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
             yield from placed(0)
         finally:
             gc.enable()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)

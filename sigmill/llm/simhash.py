@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, keep_lowest, text_sha, written
+from .common import components, fresh, giving_back, keep_lowest, text_sha, written
 
 BITS = 64
 RADIUS = 2
@@ -50,6 +50,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, sha: str | None = None) -> DataFrame:
     """(doc_id, fp long), and sha where that column is named. Null and empty texts: 0."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
@@ -109,6 +110,7 @@ def _pairwise(values: np.ndarray) -> list[tuple[int, int]]:
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links that connect what the pairs within RADIUS bits connect, of different fps (fp)."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         last = None

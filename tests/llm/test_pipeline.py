@@ -4,11 +4,11 @@ import re
 
 import corpus_pipeline as C
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sigmill.llm import simhash
 
-from .helpers import SF
+from .helpers import DOCS, SF, docs
 
 
 @pytest.fixture(scope="module")
@@ -39,10 +39,14 @@ def test_each_stage_does_its_work(steps):
         groups.setdefault(norm(i), []).append(i)
     want = [min(g, key=lambda i: (-len(rows[i]["text"] or ""), i)) for g in groups.values()]
     assert sorted(ids(exact)) == sorted(want)
-    fps = {i: simhash.fingerprint(rows[i]["text"]) for i in ids(exact)}
-    root = {}
-    for i in sorted(fps):
-        near_by = [j for j in root if (fps[i] ^ fps[j]).bit_count() <= 2]
+    # One of each group of documents whose sets of 5-word shingles have a similarity of 0.8 stays.
+    def shingles(i):
+        w = [x.encode().lower() for x in re.findall(r"[^\x20\x09-\x0D]+", rows[i]["text"] or "")]
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = {i: shingles(i) for i in ids(exact)}, {}
+    for i in sorted(sets):
+        near_by = [j for j in root if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
         merged = {root[j] for j in near_by} | {i}
         low = min(merged)
         root[i] = low
@@ -63,3 +67,31 @@ def test_run_and_registry(spark, steps):
     assert key(out) == key(steps[-1])
     q = entry.queries()
     assert "pipeline" in q and {int(re.match(r"op(\d+)_", n)[1]) for n in q if n.startswith("op")} == set(range(1, 11))
+
+
+ODDITIES = [(None, None), (None, "alone"), (1, None), (2, ""), (3, " \t\n"), (4, "é́x 😀"), (5, "a"), (5, "a"), (5, "another text"), (6, "a "), (7, "b " * 30_000)]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and keys, a further column: every stage but the last keeps
+    the columns; what one keeps is among what it got."""
+    d = docs(spark, ODDITIES).withColumn("_size", F.lit(1)).withColumn("sha", F.lit("x"))
+    for name, stage in C.STAGES:
+        out = stage(spark, d, SF).cache()
+        n = out.count()
+        if name == "packing":
+            assert n >= d.count()
+            break
+        assert out.columns == d.columns and 0 < n <= (2 if name == "mixing" else 1) * d.count()
+        before = {(r["doc_id"], r["text"]) for r in d.collect()}
+        assert {(r["doc_id"], r["text"]) for r in out.collect()} <= before
+        if name == "near_dedup":  # texts that are no copies all stay
+            assert {"alone", "another text"} <= {r["text"] for r in out.collect()}
+        d = out
+
+
+def test_stages_on_an_empty_table(spark):
+    d = spark.createDataFrame([], DOCS)
+    for name, stage in C.STAGES:
+        out = stage(spark, d, SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == d.columns)
