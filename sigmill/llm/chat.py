@@ -5,10 +5,14 @@ and `<` and `[` get a backslash after them, so that no control string can occur
 and every text can be read back.
 
 A conversation's turns are cut into windows by the prefix sums of their tokens: turns that start in
-the same stretch of SPAN tokens share a window, and a turn longer than SPAN has its own. A window
-therefore holds fewer than 2 * SPAN new tokens unless one turn alone has more. It starts with the
-system turn and with the turns of the last HISTORY tokens before it; both are masked, so that each
-assistant text is a target once.
+the same stretch of `span` tokens share a window, and a turn longer than that has its own. A window
+starts with the system turn and with the turns of the last HISTORY tokens before it; both are masked,
+so that each assistant text is a target once. `span` is half of what system turn and history leave of
+the budget, so that a window never exceeds it unless one turn alone does.
+
+Tokens are counted by an upper bound that holds for every vocabulary whose tokens have a byte at
+least: the bytes of the turn as it is written, marks and escapes included. Where real counts are known,
+a column may give them.
 """
 
 from __future__ import annotations
@@ -16,18 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUDGET = 2048
-HISTORY = 256
+#: Tokens of a window at most, and of the history that it repeats.
+BUDGET = 8192
+HISTORY = 1024
 #: Turn numbers per block: prefix sums run within blocks and over blocks, so that a conversation of
 #: any length is dealt over many tasks.
 BLOCK = 256
 
 
-def tokens(text: str) -> Column:
-    """Estimate by bytes: four a token, and four tokens for the marks of a turn."""
-    return (F.ceil(F.octet_length(text) / 4) + 4).cast("long")
-
-
 def escape(text: str) -> str:
     """SQL that escapes a text."""
     return rf"replace(replace(replace({text}, '\\', '\\\\'), '<', '<\\'), '[', '[\\')"
@@ -37,44 +37,55 @@ def unescape(text: str) -> str:
     return rf"replace(replace(replace({text}, '[\\', '['), '<\\', '<'), '\\\\', '\\')"
 
 
-def _placed(turns: DataFrame, span: int) -> DataFrame:
+def tokens(text: str, role: str) -> Column:
+    """Upper bound: the bytes of the turn as written."""
+    return (F.octet_length(F.expr(escape(text))) + F.octet_length(F.url_encode(role)) + 8).cast("long")
+
+
+def _placed(turns: DataFrame, budget: int, history: int, count: str | None) -> DataFrame:
     """Adds pos, start (tokens before), win and the conversation's system turn, null without one."""
+    given = F.col(count).cast("long") if count else F.lit(None).cast("long")
     t = turns.select(
         F.col("conv_id").isNull().alias("z"), F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("c"), F.col("turn").cast("long").alias("turn"),
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), given.alias("given"),
     )
-    t = t.withColumn("n", tokens("text")).withColumn("long", (F.col("n") > span).cast("long"))
+    t = t.withColumn("n", F.coalesce("given", tokens("text", "role"))).drop("given")
     t = t.withColumn("block", F.floor(F.coalesce("turn", F.lit((1 << 63) - 1)) / BLOCK))
     order = [F.col("turn").asc_nulls_last(), "role", "text"]
     w = Window.partitionBy("z", "c", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("pos", F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    t = t.withColumn("start", F.sum("n").over(w) - F.col("n")).withColumn("longs", F.sum("long").over(w) - F.col("long"))
-    first = F.min(F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text")).alias("first")
-    b = t.groupBy("z", "c", "block").agg(F.sum("n").alias("bn"), F.count("*").alias("bk"), F.sum("long").alias("bl"), first)
+    t = t.withColumn("start", F.sum("n").over(w) - F.col("n"))
+    first = F.min(F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text", "n")).alias("first")
+    b = t.groupBy("z", "c", "block").agg(F.sum("n").alias("bn"), F.count("*").alias("bk"), first)
     v = Window.partitionBy("z", "c").orderBy("block")
     before = v.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     b = b.select(
-        "z", "c", "block", *[F.coalesce(F.sum(x).over(before), zero).alias(x) for x in ("bn", "bk", "bl")], F.first("first").over(v).alias("head")
+        "z", "c", "block", *[F.coalesce(F.sum(x).over(before), zero).alias(x) for x in ("bn", "bk")], F.first("first").over(v).alias("head")
     )
     t = t.join(b, ["z", "c", "block"])
-    t = t.withColumn("pos", F.col("pos") + F.col("bk")).withColumn("start", F.col("start") + F.col("bn")).withColumn("longs", F.col("longs") + F.col("bl"))
-    t = t.withColumn("win", (2 * F.col("longs") + F.col("long")) * F.lit(1 << 31) + F.floor(F.col("start") / span))
+    t = t.withColumn("pos", F.col("pos") + F.col("bk")).withColumn("start", F.col("start") + F.col("bn"))
+    own = F.when(F.col("head.role") == "system", F.col("head.n")).otherwise(zero)
+    t = t.withColumn("span", F.greatest(F.lit(1).cast("long"), F.floor((F.lit(budget - history) - own) / 2)))
+    t = t.withColumn("long", (F.col("n") > F.col("span")).cast("long")).withColumn("longs", F.sum("long").over(w) - F.col("long"))
+    b = t.groupBy("z", "c", "block").agg(F.sum("long").alias("bl"))
+    t = t.join(b.select("z", "c", "block", F.coalesce(F.sum("bl").over(before), zero).alias("bl")), ["z", "c", "block"])
+    t = t.withColumn("win", (2 * (F.col("longs") + F.col("bl")) + F.col("long")) * F.lit(1 << 31) + F.floor(F.col("start") / F.col("span")))
     return t.select("z", "c", "win", "pos", "start", "role", "text", F.when(F.col("head.role") == "system", F.col("head.text")).alias("system"))
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, count: str | None = None) -> DataFrame:
     """(conv_id, win, formatted, n_context, mask) from (conv_id, turn, role, text).
 
     win orders a conversation's windows; the first n_context turns of a window are repeated (system
     and history); mask lists (at, length), in code points, of the text to learn: the new assistant
-    turns. A system turn is kept whole; over a quarter of the budget it widens the windows.
+    turns. A window holds at most `budget` tokens unless it has one new turn alone (or the system turn and
+    the history leave nothing). count: a column with the turns' tokens, where null the bound is taken.
 
     Turns go by turn number, null last, then by role and text; repeated rows are turns of their own.
     Null texts and roles count as empty, null conv_ids as one conversation; further columns are
     ignored; an empty table gives an empty one."""
-    span = max(1, (budget - budget // 4 - history) // 2)
-    t = _placed(turns, span)
+    t = _placed(turns, budget, history, count)
     is_system = "(pos = 0 and system is not null)"
     w = t.groupBy("z", "c", "win").agg(F.min("start").alias("s"), F.min("pos").alias("p0"), F.max("system").alias("system"))
     w = w.where("p0 > 0")

@@ -71,6 +71,26 @@ def test_windows_hold_what_they_should(spark):
                 assert not again or again == before[-len(again) :]
 
 
+@pytest.mark.parametrize(("budget", "history"), [(8192, 1024), (900, 100), (400, 80)])
+def test_no_window_exceeds_its_budget(spark, budget, history):
+    """In bytes, which no byte-level vocabulary exceeds; one turn alone may."""
+    rows = talk(3) + [(60, 0, "system", "s" * (budget // 2)), *((60, t, ["user", "assistant"][t % 2], "語" * (t % 30)) for t in range(1, 60))]
+    alone = 0
+    for r in C.windows(spark.createDataFrame(rows, TURNS), budget, history).collect():
+        if r["formatted"].count("</s>") - r["n_context"] > 1:
+            assert len(r["formatted"].encode()) <= budget
+        else:
+            alone += 1
+    assert alone
+
+
+def test_given_counts(spark):
+    rows = [(1, t, ["user", "assistant"][t % 2], "x" * 50, 1) for t in range(100)]
+    d = spark.createDataFrame(rows, TURNS + ", tokens int")
+    assert C.windows(d, 20, 4, "tokens").count() > C.windows(d, 400, 4, "tokens").count() == 1
+    assert C.windows(d, 400, 4).count() > 1
+
+
 def test_whole_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
