@@ -11,14 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import giving_back, written
 
-#: Bounds of the training sample: confirmed toxic documents, and documents taken as unlabelled.
+#: Bounds of the training sample, which is taken from the labelled rows: confirmed toxic documents, and
+#: documents whose label is then not looked at.
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
-#: Features of a model at most, and what makes a feature one: documents of the sample that have it,
-#: and how far its share of the toxic ones lies above its share of the others, in standard errors.
-MOST, LEAST, FAR = 4_096, 5, 4.0
+#: What makes a feature: documents of the sample that have it, and how far its share of the toxic ones
+#: lies above its share of the others, in standard errors.
+LEAST, FAR = 5, 3.0
 #: A word's features are the word and its beginnings of these lengths.
 STEMS = range(3, 9)
 THRESHOLD = 0.3
@@ -108,8 +109,9 @@ def held_out(key) -> F.Column:
 
 
 def _chosen(sample: DataFrame, n_p: int, n_u: int) -> list[str]:
-    """The features that set the sample's toxic documents (p = 1) apart, at most MOST."""
+    """The features that set the sample's toxic documents (p = 1) apart; the sample bounds how many."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -124,15 +126,18 @@ def _chosen(sample: DataFrame, n_p: int, n_u: int) -> list[str]:
     share = (F.col("a") + F.col("b")) / F.lit(n_p + n_u)
     error = F.sqrt(share * (1 - share) * F.lit(1 / n_p + 1 / n_u)) + F.lit(1e-12)
     far = (F.col("a") / F.lit(n_p) - F.col("b") / F.lit(n_u)) / error
-    top = seen.where(f"a + b >= {LEAST}").select("f", far.alias("z")).where(f"z >= {FAR}").orderBy(F.desc("z"), "f").limit(MOST)
+    top = seen.where(f"a + b >= {LEAST}").select("f", far.alias("z")).where(f"z >= {FAR}").orderBy(F.desc("z"), "f")
     return [r["f"] for r in top.collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
-    """A model from the rows that are not held out: up to MAX_POSITIVE documents labelled toxic, and up
-    to MAX_UNLABELLED of all documents, whatever their label, as unlabelled; both are the first by a
+    """A model from the labelled rows that are not held out: up to MAX_POSITIVE documents labelled toxic,
+    and up to MAX_UNLABELLED of them all, whatever their label, as unlabelled; both are the first by a
     hash of the key. The class prior is the share of toxic labels, over all labels learned from. Only
-    the sample's vectors over at most MOST features come to the driver."""
+    the sample's vectors come to the driver, over the features that set its toxic documents apart.
+
+    Labels without a document, null keys and null labels don't count; without a toxic label, or without
+    a labelled document, the model has no features and scores 0.01."""
     known = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     n, toxic = known.agg(F.count("*"), F.sum("toxic")).first()
     blank = Model([])
@@ -143,13 +148,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     order = F.xxhash64("doc_id")
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ids = known.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(MAX_POSITIVE).withColumn("p", F.lit(1))
-    free = src.select("doc_id").where("doc_id is not null").where(~held_out(F.col("doc_id"))).distinct().orderBy(order, "doc_id").limit(MAX_UNLABELLED).withColumn("p", F.lit(0))
+    free = known.select("doc_id").distinct().orderBy(order, "doc_id").limit(MAX_UNLABELLED).withColumn("p", F.lit(0))
     sample = written(src.join(F.broadcast(ids.union(free)), "doc_id").select("doc_id", "text", "p"), "sample")  # 16,000 ids at most
     n_p, n_all = sample.agg(F.coalesce(F.sum("p"), F.lit(0)), F.count("*")).first()
     if not n_p or n_p == n_all:
         return blank
     model = Model(_chosen(sample, n_p, n_all - n_p))
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.vector(t.as_py()) for t in batch.column(1)]
@@ -171,6 +177,7 @@ def _logits(model: Model, texts: pa.Array) -> np.ndarray:
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, score): every whole text against the model; null counts as empty."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-_logits(model, batch.column(1)))), pa.float64())], ["doc_id", "score"])
@@ -190,6 +197,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     model = fit(docs, labels, text, key)
     at, limit = docs.columns.index(text), float(np.log(THRESHOLD / (1 - THRESHOLD)))
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_logits(model, batch.column(at)) < limit, pa.bool_()))
