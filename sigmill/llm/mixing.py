@@ -17,8 +17,9 @@ def words(text) -> F.Column:
 
 
 def draw(key: str) -> F.Column:
-    """The hash-seeded uniform number of a document, in [0, 1)."""
-    return F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """The hash-seeded uniform number of a document, in [0, 1): the first 52 bits of a digest of its key."""
+    digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":mix")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def targets(sources: DataFrame, budget: float, most: float) -> DataFrame:
