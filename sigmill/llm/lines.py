@@ -1,13 +1,20 @@
 """Line dedup: an exact set-similarity join of lines (built-in functions only).
 
 A line's tokens are its different words; two lines match when the Jaccard similarity of their tokens
-is 0.8 or more. Tokens are ordered by rarity: by the logarithm of how many lines of the whole corpus
-have a token of their cell (65,536 cells of the tokens' hashes, so that the table has a fixed size),
-then by hash. A pair that matches shares a token among the first n - ceil(0.8 n) + 1 of each, so an
-index of these prefixes finds it; length and positional filters thin the candidates, as does a bitmap
-of the tokens' parities (the bits in which two differ are at most the tokens that one set has alone),
-and the intersection of the whole token sets decides. Lines with equal tokens are one set, which enters the
-join once however many there are.
+is 0.8 or more. Equal lines are found by their text and take part once, as do lines with equal tokens.
+Tokens are ordered by rarity: by the logarithm of how many different lines of the whole corpus have a
+token of their cell (CELLS cells of the tokens' hashes, so that the table has a fixed size), then by
+hash. An index of each set's first n - ceil(0.8 n) + 1 tokens finds every pair.
+
+A pair that shares many of them is made once for each run of tokens that the two have in common, not
+once for each token: at any token whose predecessor is the same in both, an earlier one is shared.
+Length and positional filters (no token before the first shared one is in both) and bitmaps of the
+tokens' parities (the bits in which two differ are at most the tokens that one set has alone), a small
+one in the join and a larger one after it, thin the candidates; the intersection of the whole sets
+decides.
+
+Tokens are hashes of BITS bits and sets go by 128 bits: among n lines about n^2 / 2^129 pairs of
+sets fall together by chance, and two words of one pair of lines once in 10^10 pairs.
 """
 
 from __future__ import annotations
@@ -21,29 +28,45 @@ from .common import SPACE, discard, fresh, release, small, written
 
 #: Similarity as a fraction: 4 / 5.
 NUM, DEN = 4, 5
-CELLS = 1 << 16
-#: Bits of a token's hash. Two words of a pair of lines fall together about once in 10^10 pairs.
+CELLS = 1 << 18
+#: Bits of a token's hash.
 BITS = 44
-_LOW = (1 << BITS) - 1
+#: 64-bit words of the bitmaps that candidates are tested by before their sets are moved.
+WORDS = 8
+#: Rows (8 bytes each) up to which the sets of the candidates are broadcast; counted first.
+ID_ROWS = 1_000_000
 
 
-def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, line, tokens, sid): the lines that have words; tokens as hashes, sid for their set."""
-    src = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "t"))
-    token = lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - BITS)
-    words = F.transform(F.split("t", f"[{SPACE}]+"), token)
-    out = src.select("doc_id", "line", F.sort_array(F.array_remove(F.array_distinct(words), token(F.lit("")))).alias("tokens"))
-    return out.where(F.size("tokens") > 0).withColumn("sid", F.xxhash64("tokens"))
+def _hashes(*cols) -> list[F.Column]:
+    """Two independent 64-bit hashes, g and h."""
+    return [F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit(7), *cols).alias("g")]
+
 
+def _split(docs: DataFrame, text: str, *more) -> DataFrame:
+    return docs.select(*more, F.posexplode(F.split(F.col(text), "\n")).alias("line", "t")).where(F.col("t").rlike(f"[^{SPACE}]"))
 
-def token_sets(rows: DataFrame) -> DataFrame:
-    """(sid, tokens, k): the different token sets and how many lines have each."""
-    return rows.groupBy("sid").agg(F.first("tokens").alias("tokens"), F.count("*").alias("k"))
+
+def places(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(z, doc_id, row, line, h, g): where the lines with words are. row tells rows of one key apart
+    by their text; z is true for a null key."""
+    row = F.xxhash64(text).alias("row")
+    return _split(docs, text, F.col(key).isNull().alias("z"), F.col(key).alias("doc_id"), row).select("z", "doc_id", "row", "line", *_hashes("t"))
+
+
+def token_sets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(uid, h, g, tokens, sh, sg), one row per different line with words: tokens as sorted hashes,
+    and the hashes of the line and of its tokens."""
+    token = lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - BITS)
+    t = _split(docs, text).groupBy("t").agg(F.count("*").alias("k"))
+    words = F.when(F.col("t").rlike(r"[\x09\x0B-\x0D]"), F.split("t", f"[{SPACE}]+")).otherwise(F.split("t", " "))
+    t = t.select(*_hashes("t"), F.sort_array(F.array_remove(F.array_distinct(F.transform(words, token)), token(F.lit("")))).alias("tokens"))
+    sh, sg = _hashes("tokens")
+    return t.select(F.monotonically_increasing_id().alias("uid"), "h", "g", "tokens", sh.alias("sh"), sg.alias("sg"))
 
 
 def _rarity(sets: DataFrame) -> bytes:
-    """For each cell of token hashes, one byte: 1 + log2 of the lines that have such a token."""
-    seen = sets.select("k", F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(CELLS)).alias("cell")).agg(F.sum("k").alias("k"))
+    """For each cell of token hashes, one byte: 1 + log2 of the sets that have such a token."""
+    seen = sets.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.count("*").alias("k"))
     table = bytearray(b"\1" * CELLS)
     for cell, n in seen.collect():  # CELLS rows at most
         table[cell] = 1 + int(math.log2(n))
@@ -52,8 +75,9 @@ def _rarity(sets: DataFrame) -> bytes:
 
 def _ordered(rarity: bytes) -> F.Column:
     """The tokens as integers that sort by rarity: its byte, then the hash."""
-    rank = lambda t: F.ascii(F.substring(F.lit(rarity), F.pmod(t, F.lit(CELLS)).cast("int") + 1, F.lit(1)).cast("string"))
-    return F.sort_array(F.transform("tokens", lambda t: F.shiftleft(rank(t).cast("long"), BITS).bitwiseOR(t)))
+    rank = lambda t: F.ascii(F.substring(F.lit(rarity), t.bitwiseAND(F.lit(CELLS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+    whole = lambda t: F.shiftleft(rank(t).cast("long"), BITS).bitwiseOR(t)
+    return F.sort_array(F.transform("tokens", lambda t: F.coalesce(whole(t), F.lit(0).cast("long"))))
 
 
 def need(a: str, b: str) -> str:
@@ -61,58 +85,110 @@ def need(a: str, b: str) -> str:
     return f"cast(({NUM} * ({a} + {b}) + {NUM + DEN - 1}) div {NUM + DEN} as int)"
 
 
+def _bit(t: F.Column) -> F.Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 20).bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(uid, n, w0, w1, ...): the parities of the set's tokens in 64 * WORDS cells."""
+    t = sets.select("uid", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    word = F.shiftright("t", 26).bitwiseAND(F.lit(WORDS - 1))
+    return t.groupBy("uid", "n").agg(*[F.bit_xor(F.when(word == k, _bit(F.col("t"))).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)])
+
+
+def _entries(sets: DataFrame, rarity: bytes) -> DataFrame:
+    """(o, uid, n, i, p, v): a set's first tokens, with its size, the place i, a bitmap of 64 bits, and the
+    token before (-1: none)."""
+    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(_bit(t)))
+    t = sets.select("uid", F.size("tokens").alias("n"), parity.alias("p"), _ordered(rarity).alias("x"))
+    prefix = f"slice(x, 1, cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + 1 as int))"
+    t = t.select("uid", "n", "p", "x", F.posexplode(F.expr(prefix)).alias("i", "o"))
+    mask = (1 << BITS) - 1  # the rarity has done its work in the order
+    return t.select(F.expr(f"o & {mask}L").alias("o"), "uid", "n", "i", "p", F.expr(f"case when i = 0 then -1L else x[i - 1] & {mask}L end").alias("v"))
+
+
 def _candidates(sets: DataFrame, rarity: bytes) -> DataFrame:
-    """(a, b): different sets, a < b, that pass the prefix, length and positional filters."""
-    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    t = sets.select("sid", F.size("tokens").alias("n"), parity.alias("p"), _ordered(rarity).alias("o"))
-    prefix = f"slice(o, 1, cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + 1 as int))"
-    # The rarity has done its work in the order: the index keeps the hash, and size and place as one.
-    entries = t.select("sid", "n", "p", F.posexplode(F.expr(prefix)).alias("i", "o"))
-    entries = entries.select("sid", "p", F.col("o").bitwiseAND(F.lit(_LOW)).alias("o"), F.expr("shiftleft(cast(n as bigint), 32) | i").alias("ni"))
-    side = lambda k: entries.select("o", F.col("sid").alias(k), F.col("p").alias(f"p{k}"), F.shiftright("ni", 32).cast("int").alias(f"n{k}"), F.col("ni").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias(f"i{k}"))
-    x, y = side("a"), side("b")
-    near = x.join(y, "o").where(f"a < b and {DEN} * na >= {NUM} * nb and {DEN} * nb >= {NUM} * na and least(na - ia, nb - ib) + least(ia, ib) >= {need('na', 'nb')} and bit_count(pa ^ pb) <= na + nb - 2 * {need('na', 'nb')}")
-    return near.select("a", "b").distinct()
+    """(a, b): uids of sets, a the larger (of equal size, the later), that pass the filters."""
+    entries = _entries(sets, rarity)
+    side = lambda k: entries.select("o", *[F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "i", "p", "v")])
+    # The positional filter has the shorter prefix in it: put on one side alone it would be pushed down,
+    # and the two sides would no longer share one exchange.
+    near = side("a").join(side("b"), "o").where(
+        f"(nb < na or nb = na and uidb < uida) and {DEN} * nb >= {NUM} * na and (va <> vb or ia = 0 or ib = 0) and least(na - ia, nb - ib) >= {need('na', 'nb')}"
+        f" and bit_count(pa ^ pb) <= na + nb - 2 * {need('na', 'nb')}"
+    )
+    return near.select(F.col("uida").alias("a"), F.col("uidb").alias("b")).distinct()
 
 
 def links(sets: DataFrame) -> DataFrame:
-    """(a, b), a < b: the sid of all matching pairs of different token sets; written."""
+    """(a, b): all matching pairs of the sets (uid, tokens), each once; written."""
     pairs = written(_candidates(sets, _rarity(sets)), "pairs")
     release(sets.sparkSession)
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sids")
-    sets = written(sets.select("sid", "tokens").join(small(ids), "sid", "left_semi"), "sets")
-    found = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a")
-    found = found.join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
-    return written(found.where(f"size(array_intersect(ta, tb)) >= {need('size(ta)', 'size(tb)')}").select("a", "b"), "links")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "ids")
+    sets = written(sets.select("uid", "tokens").join(small(ids, ID_ROWS), "uid", "left_semi"), "sets")
+    maps = written(_bitmaps(sets), "bitmaps")
+    side = lambda k: maps.select(*[F.col(c).alias(f"{c}{k}") for c in maps.columns])
+    differ = " + ".join(f"bit_count(w{k}a ^ w{k}b)" for k in range(WORDS))
+    near = pairs.join(side("b"), F.col("b") == F.col("uidb")).join(side("a"), F.col("a") == F.col("uida"))
+    near = written(near.where(f"{differ} <= na + nb - 2 * {need('na', 'nb')}").select("a", "b"), "near")
+    release(sets.sparkSession)
+    own = lambda k: sets.select(F.col("uid").alias(k), F.col("tokens").alias(f"t{k}"))
+    found = near.join(own("b"), "b").join(own("a"), "a")
+    found = written(found.where(f"size(array_intersect(ta, tb)) >= {need('size(ta)', 'size(tb)')}").select("a", "b"), "links")
+    for t in (pairs, ids, sets, maps, near):
+        discard(t)
+    release(found.sparkSession)
+    return found
 
 
 def later_matches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, removed, n_links), per doc_id with words: the numbers, from 0, of the lines that match an
-    earlier line of the corpus, and how many different sets the document's sets are linked to.
-
-    Earlier is by doc_id (null last), then by line number; it doesn't matter whether the earlier line
-    is itself removed. Lines with equal tokens match. Lines without words are never removed. Rows
-    repeated with one doc_id count as one place: they don't remove each other's lines."""
-    rows = written(lines(docs, text, key), "lines")
-    light = written(rows.select(F.col("doc_id").isNull().alias("z"), "doc_id", "line", "sid"), "places")
-    sets = written(token_sets(rows), "sets")
-    discard(rows)
-    release(docs.sparkSession)
-    both = links(sets)
+    """(doc_id, row, removed, n_links, classes), per key and text with words: the numbers, from 0, of the
+    lines that match an earlier line of the corpus; how many other token sets match its lines' sets,
+    summed over the lines; and, per line with words, its class, which is the first place
+    (struct doc_id, line) of a line with the same tokens.
+
+    Earlier is by key (null last), then by row (a hash of the text, which tells rows of one key
+    apart), then by line number; it doesn't matter whether the earlier line is itself removed. Lines
+    with equal tokens match. Lines without words are never removed. Rows repeated with one key and
+    one text are one place: they don't remove each other's lines. An empty table gives an empty one."""
+    sets = written(token_sets(docs, text), "lines")
+    light = written(places(docs, text, key), "places")
+    # Different lines with the same tokens: the one with the lowest uid stands for them.
+    same = written(sets.groupBy("sh", "sg").agg(F.min("uid").alias("sid"), F.count("*").alias("k")), "same")
+    again = same.where("k > 1").select("sh", "sg", "sid")
+    more = written(sets.select("uid", "sh", "sg").join(small(again), ["sh", "sg"]).where("uid <> sid").select("uid"), "more")
+    both = links(sets.join(small(more), "uid", "left_anti").select("uid", "tokens"))
     both = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = written(light.groupBy("sid").agg(F.min(F.struct("z", "doc_id", "line")).alias("first")), "first")
+    line = sets.select("uid", "h", "g", "sh", "sg").join(same.select("sh", "sg", "sid"), ["sh", "sg"]).select("h", "g", "sid")
+    light = written(light.join(line, ["h", "g"]).select("z", "doc_id", "row", "line", "sid"), "placed")
+    first = written(light.groupBy("sid").agg(F.min(F.struct("z", "doc_id", "row", "line")).alias("first")), "first")
     other = both.join(first, both.b == first.sid).groupBy("a").agg(F.min("first").alias("other"), F.count("*").alias("n"))
     best = first.join(other, first.sid == other.a, "left")
-    best = written(best.select("sid", F.least("first", F.coalesce("other", "first")).alias("best"), F.coalesce("n", F.lit(0)).alias("n")), "best")
-    at = light.join(best, "sid").withColumn("gone", F.struct("z", "doc_id", "line") > F.col("best"))
-    return at.groupBy("z", "doc_id").agg(F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed"), F.sum("n").alias("n_links")).drop("z")
+    best = written(best.select("sid", "first", F.least("first", F.coalesce("other", "first")).alias("best"), F.coalesce("n", F.lit(0)).alias("n")), "best")
+    at = light.join(best, "sid")
+    gone = F.struct("z", "doc_id", "row", "line") > F.col("best")
+    one = F.struct("line", gone.alias("gone"), "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("at"))
+    g = at.groupBy("z", "doc_id", "row").agg(F.sort_array(F.collect_set(one)).alias("x"))
+    return g.select(
+        "doc_id", "row", F.expr("transform(filter(x, x -> x.gone), x -> x.line)").alias("removed"), F.expr("aggregate(x, 0L, (s, x) -> s + x.n)").alias("n_links"),
+        F.expr("transform(x, x -> named_struct('doc_id', x.doc_id, 'line', x.at))").alias("classes"),
+    )
+
+
+def with_matches(docs: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with later_matches() of them beside each row: found's columns removed, n_links and classes are
+    null for rows without words."""
+    k, r, h = fresh(docs, "_key", "_row", "_own")
+    f = found.withColumnRenamed("doc_id", k).withColumnRenamed("row", r)
+    own = docs.withColumn(h, F.xxhash64(text))
+    return own.join(f, own[key].eqNullSafe(f[k]) & (own[h] == f[r]), "left").drop(k, r, h)
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without the lines of later_matches(): the other lines joined by line ends. Columns and rows
     stay, a null text stays null; an empty table stays empty."""
-    k, r = fresh(docs, "_key", "_removed")
-    gone = later_matches(docs, text, key).select(F.col("doc_id").alias(k), F.col("removed").alias(r)).where(F.size(r) > 0)
-    out = docs.join(gone, docs[key].eqNullSafe(gone[k]), "left")
+    (r,) = fresh(docs, "_removed")
+    gone = later_matches(docs, text, key).select("doc_id", "row", F.col("removed").alias(r)).where(F.size(r) > 0)
+    out = with_matches(docs, gone, text, key)
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(r), i)), "\n")
     return out.withColumn(text, F.when(F.col(r).isNull(), F.col(text)).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -86,6 +86,23 @@ def test_texts_without_removed_lines(spark):
     assert got(out, "doc_id", "text") == sorted([(1, "one two\nthree"), (2, "\nfour"), (2, "\nfour"), (3, None), (None, "")], key=repr)
 
 
+def test_rows_of_one_key_keep_their_own_lines(spark):
+    d = docs(spark, [(1, "x y z"), (5, "x y z\nown a"), (5, "p q r\nown b")])
+    assert got(L.dedup_lines(d), "doc_id", "text") == [(1, "x y z"), (5, "own a"), (5, "p q r\nown b")]
+
+
+def test_classes(spark):
+    d = docs(spark, [(1, "a b\nc"), (2, "b  a\n\nc\td"), (None, "c")])
+    found = {r["doc_id"]: [(x["doc_id"], x["line"]) for x in r["classes"]] for r in L.later_matches(d).collect()}
+    assert found == {1: [(1, 0), (1, 1)], 2: [(1, 0), (2, 2)], None: [(1, 1)]}
+
+
+def test_a_group_of_near_copies(spark):
+    """Every pair of a group is a link; what one word tells apart are different sets."""
+    words = [f"w{k}" for k in range(30)]
+    same(spark, [(i, " ".join([*words[:i], f"own{i}", *words[i + 1 :]])) for i in range(25)])
+
+
 def test_query(spark, tmp_path):
     docs(spark, [(1, "a\nb"), (2, None), (3, "b\nc")]).write.parquet(f"{tmp_path}/documents.parquet")
     assert got(op5_line_dedup(spark, str(tmp_path)), "doc_id", "n_lines", "n_removed", "removed", "n_links") == [(1, 2, 0, "", 0), (2, 0, 0, "", 0), (3, 2, 1, "0", 0)]
