@@ -1,10 +1,13 @@
-"""Near-dedup of documents by the exact Jaccard similarity of their word shingles.
+"""Near-dedup of documents by SimHash and the exact Jaccard similarity of their word shingles.
 
-Two documents link when the sets of their SHINGLE-word shingles have a similarity of 4/5 or more. No
-radius of a 64-bit fingerprint finds all such pairs: they differ in 11 bits and more, and from 8 bits
-on two fingerprints need not share a single byte. Candidates come from an index of prefixes instead,
-which misses none: with one order of all shingles, rare ones first, a pair that matches shares one of
-the first n - ceil(0.8 n) + 1 shingles of each. Whole sets decide.
+Two documents link when the sets of their SHINGLE-word shingles have a similarity of 4/5 or more. The
+first candidates come from the SimHash index of byte positions: fingerprints of the same shingles that
+share SHARED positional bytes and differ in RADIUS bits at most. Whole sets decide.
+
+That alone would lose links: a similarity of 4/5 is about 10 bits, and from 8 bits on two fingerprints
+need not share a single byte. So what fingerprints haven't connected is looked up in an index of
+prefixes, which misses no pair: with one order of all shingles, rare ones first, a pair that matches
+shares one of the first n - ceil(0.8 n) + 1 shingles of each. Whole sets decide there too.
 
 Only what the pairs connect is wanted, so a list of the index isn't paired in full at once: its members
 are first compared with one of them, and only members that are not connected yet meet again.
@@ -19,14 +22,20 @@ from itertools import count, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, giving_back, keep_lowest, release, small, text_sha, written
+from . import simhash
+from .common import components, giving_back, keep_lowest, release, small, text_sha, written
 from .lines import DEN, NUM, need
 
 SHINGLE = 5
 SEED = 42
+#: Candidates by fingerprint: bits that may differ (sets at 4/5 differ in 10 on average, by 3 more or less), and
+#: positional bytes that are shared.
+RADIUS, SHARED = 16, 4
+#: Rows whose sets are made at a time.
+BATCH = 256
 #: Cells of shingle hashes whose documents are counted for the order of rarity.
 CELLS = 1 << 18
 #: Rounds against one member of each list go on while more than so many pairs an entry are open, and
@@ -64,19 +73,20 @@ def _each(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def token_sets(docs: DataFrame, text: str, key: str, shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of docs: doc_id, sha (of the text), tokens, sid (a hash of tokens)."""
+    """One row per row of docs: doc_id, sha (of the text), tokens, sid (a hash of tokens), fp (their fingerprint)."""
 
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 sets = [shingles(t.as_py(), shingle) for t in part.column(2)]
                 sid = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(sets), pa.array(sid)], ["doc_id", "sha", "tokens", "sid"])
+                fp = np.fromiter((simhash.votes(x.view(np.uint64)) for x in sets), np.uint64, len(sets)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(sets), pa.array(sid), pa.array(fp)], ["doc_id", "sha", "tokens", "sid", "fp"])
 
     src = docs.select(F.col(key).cast("long").alias("doc_id"), text_sha(text).alias("sha"), F.col(text).alias("text"))
-    return src.mapInArrow(run, "doc_id long, sha string, tokens array<long>, sid long")
+    return src.mapInArrow(run, "doc_id long, sha string, tokens array<long>, sid long, fp long")
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
@@ -108,8 +118,8 @@ def _entries(sets: DataFrame, rarity: np.ndarray) -> DataFrame:
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 o, sid, size, place, before = [], [], [], [], []
                 for own, tokens in zip(part.column(0).to_pylist(), _each(part.column(1)), strict=True):
                     n = len(tokens)
@@ -155,8 +165,8 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 own = list(_each(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, own)), pa.int32()), _lists([bitmap(x) for x in own])], ["sid", "n", "w"])
 
@@ -194,23 +204,27 @@ def _stars(found: DataFrame) -> DataFrame:
     return both.join(low, "b").groupBy("a").agg(F.min("m").alias("root")).withColumnRenamed("a", "sid")
 
 
+def by_fingerprint(sets: DataFrame, bitmaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidates of the SimHash index of sets (sid, tokens, fp), and those of them that are similar."""
+    near = simhash.candidates(sets, RADIUS, SHARED).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = written(near, "pairs")
+    return near, _matching(near, sets, bitmaps)
+
+
 def links(sets: DataFrame) -> DataFrame:
-    """(a, b): links that connect what the pairs of similar sets (sid, tokens) connect; sid is unique."""
-    every = written(_entries(sets, _rarity(sets)), "entries")
-    shared = written(every.groupBy("o").count().where("count > 1").select("o"), "shared")
-    entries = written(every.join(small(shared), "o", "left_semi"), "lists")
-    discard(every)
+    """(a, b): links that connect what the pairs of similar sets (sid, tokens, fp) connect; sid is unique."""
     bitmaps = written(_bitmaps(sets), "bitmaps")
+    tested, found = by_fingerprint(sets, bitmaps)
+    # One shuffle: a list's rows are counted where they are, and what is in no other set goes.
+    entries = _entries(sets, _rarity(sets)).withColumn("sets", F.count("*").over(Window.partitionBy("o")))
+    entries = written(entries.where("sets > 1").drop("sets"), "lists")
     release(sets.sparkSession)
-    found = tested = was = None
+    was = None
     some = last = False
     for turn in count():
-        if found is None:
-            at = entries.withColumn("root", F.col("sid"))
-        else:
-            roots = components(found).select(F.col("a").alias("sid"), F.col("b").alias("root")) if some else _stars(found)
-            star = written(roots, "star")
-            at = entries.join(small(star), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        roots = components(found).select(F.col("a").alias("sid"), F.col("b").alias("root")) if some or not turn else _stars(found)
+        star = written(roots, "star")
+        at = entries.join(small(star), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         at = written(at, "open")
         # Pairs of different components in each list, and the member that the others meet.
         lists = at.groupBy("o", "root").agg(F.count("*").cast("double").alias("c"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "root", "n", "i", "v")).alias("pivot"))
@@ -218,7 +232,7 @@ def links(sets: DataFrame) -> DataFrame:
         lists = written(lists.where("roots > 1"), "openlists")
         n, pairs = lists.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2)).first()
         if not n:
-            return sets.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0) if found is None else found
+            return found
         last = some
         some = some or turn > 0 and (pairs <= OPEN_PAIRS * n or pairs > (1 - CLOSED) * was) or turn >= ROUNDS
         was = pairs
@@ -228,12 +242,9 @@ def links(sets: DataFrame) -> DataFrame:
         else:
             near = _side(lists.select("o", "pivot.*"), "a").join(_side(at, "b"), "o").where(f"ra <> rb and {_MAY}")
         near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            near = near.join(tested, ["a", "b"], "left_anti")
-        near = written(near, "pairs")
-        tested = near if tested is None else tested.union(near)
-        new = _matching(near, sets, bitmaps)
-        found = new if found is None else found.union(new)
+        near = written(near.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(near)
+        found = found.union(_matching(near, sets, bitmaps))
         if last:
             return found
 
@@ -247,8 +258,8 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
     rows = written(token_sets(docs, text, key, shingle), "rows")
     ids = written(rows.groupBy("sid").count(), "sids")
     again = small(written(ids.where("count > 1").select("sid"), "again"))
-    one = rows.join(again, "sid", "left_anti").select("sid", "tokens")
-    sets = one.union(rows.join(again, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")))
-    star = written(components(links(sets)).select(F.col("a").alias("sid"), F.col("b").alias("root")), "star")
+    one = rows.join(again, "sid", "left_anti").select("sid", "tokens", "fp")
+    more = rows.join(again, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"), F.first("fp").alias("fp"))
+    star = written(components(links(one.union(more))).select(F.col("a").alias("sid"), F.col("b").alias("root")), "star")
     found = rows.join(small(star), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "doc_id", "sha")
     return keep_lowest(docs, found, text, key)

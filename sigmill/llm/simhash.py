@@ -17,7 +17,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, fresh, giving_back, keep_lowest, text_sha, written
@@ -28,7 +28,7 @@ SHINGLE = 3
 SEED = 42
 
 
-def _votes(hashes: np.ndarray) -> int:
+def votes(hashes: np.ndarray) -> int:
     """The fingerprint of the shingles' hashes: bits set in over half of them."""
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
@@ -44,7 +44,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    return _votes(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(words) - shingle + 1))
+    return votes(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(words) - shingle + 1))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, sha: str | None = None) -> DataFrame:
@@ -65,8 +65,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-#: The bytes kept by each posting set.
-MASKS = [_signed(sum(255 << 8 * p for p in s)) for s in combinations(range(8), 8 - RADIUS)]
+def masks(shared: int) -> list[int]:
+    """The bytes kept by each posting set, for all sets of so many byte positions."""
+    return [_signed(sum(255 << 8 * p for p in s)) for s in combinations(range(8), shared)]
+
+
+#: What two fingerprints within RADIUS bits share at least.
+MASKS = masks(8 - RADIUS)
 #: Flips of at most RADIUS of 16 bits, but for none.
 FLIPS = np.array([sum(1 << b for b in s) for k in (1, 2) for s in combinations(range(16), k)], np.uint32)
 _FREE = [[p for p in range(8) if not _signed(255 << 8 * p) & m] for m in MASKS]
@@ -142,9 +147,28 @@ def links(fps: DataFrame) -> DataFrame:
             yield made(pairs)
         yield made(close())
 
-    key = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(MASKS)])).alias("x")
-    rows = fps.select("fp", key).select("x.s", "x.k", "fp")
-    return rows.repartition("s", "k").sortWithinPartitions("s", "k").mapInArrow(run, "a long, b long")
+    return _lists(fps.select("fp"), MASKS).repartition("s", "k").sortWithinPartitions("s", "k").mapInArrow(run, "a long, b long")
+
+
+def _lists(fps: DataFrame, sets: list[int]) -> DataFrame:
+    """(s, k) and fps' columns: a row for each posting list that a fingerprint belongs to."""
+    key = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(sets)])).alias("x")
+    return fps.select(key, *fps.columns).select("x.s", "x.k", *fps.columns)
+
+
+def candidates(fps: DataFrame, radius: int, shared: int) -> DataFrame:
+    """(a, b): pairs of ids of fps (sid, fp) within radius bits that share so many positional bytes, to be verified
+    by the caller.
+
+    For a wide radius: past 7 bits no byte need be shared, so there are pairs that no index of bytes finds. The lists
+    belong to the sets of `shared` byte positions: a pair meets in one exactly when its tally reaches that. A list
+    isn't paired in full; its members meet the smallest id in it, and each id keeps the nearest and the smallest of
+    those it met."""
+    own = Window.partitionBy("s", "k").orderBy("sid")
+    rows = _lists(fps.select("sid", "fp"), masks(shared)).select("sid", "fp", F.first("sid").over(own).alias("low"), F.first("fp").over(own).alias("lowfp"))
+    rows = rows.select("sid", "low", F.bit_count(F.col("fp").bitwiseXOR(F.col("lowfp"))).alias("d")).where(f"sid <> low and d <= {radius}")
+    met = rows.groupBy("sid").agg(F.min(F.struct("d", "low")).alias("near"), F.min("low").alias("low"))
+    return met.select(F.explode(F.array_distinct(F.array("near.low", "low"))).alias("a"), F.col("sid").alias("b"))
 
 
 def clusters(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, sha: str | None = None) -> DataFrame:

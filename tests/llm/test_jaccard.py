@@ -74,3 +74,24 @@ def test_null_and_repeated_keys(spark):
 def test_odd_and_empty(spark):
     assert [k for (k,) in got(J.near_dedup(docs(spark, ODD)), "doc_id")] == [1, 4, 5, 7]
     assert J.near_dedup(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_fingerprints_find_near_copies_themselves(spark, monkeypatch):
+    """The SimHash step does its part without the index of prefixes: whole groups of long texts with few changes."""
+    rng = random.Random(4)
+    base = [prose(rng, 400, 4000) for _ in range(5)]
+    rows = [t for b in base for t in [b, *(changed(rng, b, rng.randint(1, 3)) for _ in range(20))]] + [prose(rng, 400, 4000) for _ in range(30)]
+    rows = list(enumerate(rows))
+    assert len(slow_kept(rows)) == 35
+    entries = J._entries
+    monkeypatch.setattr(J, "_entries", lambda sets, rarity: entries(sets, rarity).limit(0))
+    assert 35 <= J.near_dedup(docs(spark, rows)).count() <= 40
+
+
+def test_links_of_fingerprints_are_similar(spark):
+    rows = near_copies(random.Random(5))
+    sets = J.token_sets(docs(spark, rows), "text", "doc_id").dropDuplicates(["sid"]).cache()
+    own = {r["sid"]: grams(rows[r["doc_id"]][1]) for r in sets.collect()}
+    near, found = J.by_fingerprint(sets, J._bitmaps(sets))
+    near, found = ({(r["a"], r["b"]) for r in x.collect()} for x in (near, found))
+    assert found and found == {(a, b) for a, b in near if similar(own[a], own[b])}
