@@ -58,6 +58,19 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.7)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for what runs meanwhile. A batch of Spark's 10,000 rows of text or of sets is tens
+    of megabytes, held by each task in the JVM's direct memory and again in its Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def give_back() -> None:
     """At the end of a Python task: return freed memory to the system. Workers are reused, and what they
     hold on to would count against the executor in all later steps."""

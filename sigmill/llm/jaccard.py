@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, giving_back, keep_lowest, release, small, text_sha, written
+from .common import arrow_rows, components, giving_back, keep_lowest, release, small, text_sha, written
 from .lines import DEN, NUM, need
 
 SHINGLE = 5
@@ -34,7 +34,7 @@ SEED = 42
 #: Candidates by fingerprint: bits that may differ (sets at 4/5 differ in 10 on average, by 3 more or less), and
 #: positional bytes that are shared.
 RADIUS, SHARED = 16, 4
-#: Rows whose sets are made at a time.
+#: Rows of an Arrow batch.
 BATCH = 256
 #: Cells of shingle hashes whose documents are counted for the order of rarity.
 CELLS = 1 << 18
@@ -255,11 +255,12 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
 
     Equal sets are similar, so all null and empty texts are one group. Rows repeated with one key and
     one text count as copies; an empty table stays empty."""
-    rows = written(token_sets(docs, text, key, shingle), "rows")
-    ids = written(rows.groupBy("sid").count(), "sids")
-    again = small(written(ids.where("count > 1").select("sid"), "again"))
-    one = rows.join(again, "sid", "left_anti").select("sid", "tokens", "fp")
-    more = rows.join(again, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"), F.first("fp").alias("fp"))
-    star = written(components(links(one.union(more))).select(F.col("a").alias("sid"), F.col("b").alias("root")), "star")
-    found = rows.join(small(star), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "doc_id", "sha")
-    return keep_lowest(docs, found, text, key)
+    with arrow_rows(docs.sparkSession, BATCH):
+        rows = written(token_sets(docs, text, key, shingle), "rows")
+        ids = written(rows.groupBy("sid").count(), "sids")
+        again = small(written(ids.where("count > 1").select("sid"), "again"))
+        one = rows.join(again, "sid", "left_anti").select("sid", "tokens", "fp")
+        more = rows.join(again, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"), F.first("fp").alias("fp"))
+        star = written(components(links(one.union(more))).select(F.col("a").alias("sid"), F.col("b").alias("root")), "star")
+        found = rows.join(small(star), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "doc_id", "sha")
+        return keep_lowest(docs, found, text, key)

@@ -95,3 +95,10 @@ def test_links_of_fingerprints_are_similar(spark):
     near, found = J.by_fingerprint(sets, J._bitmaps(sets))
     near, found = ({(r["a"], r["b"]) for r in x.collect()} for x in (near, found))
     assert found and found == {(a, b) for a, b in near if similar(own[a], own[b])}
+
+
+def test_arrow_batches_are_as_before_afterwards(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    J.near_dedup(docs(spark, [(1, "a b"), (2, "c d")]))
+    assert spark.conf.get(name) == was
