@@ -13,6 +13,12 @@ tokens' parities (the bits in which two differ are at most the tokens that one s
 one in the join and a larger one after it, thin the candidates; the intersection of the whole sets
 decides.
 
+All pairs of a group of near copies are links, so their number grows with the square of the group.
+They are not made where distances settle them: sets with the same smallest or largest tokens are
+compared with the commonest of them, their pivot. Two that differ from it in da and db tokens differ from each other in
+da + db at most; where that is little enough they match, and what they add (a number of links, the
+first place) is summed over (pivot, size, distance) instead. All other pairs go through the join.
+
 Tokens are hashes of BITS bits and sets go by 128 bits: among n lines about n^2 / 2^129 pairs of
 sets fall together by chance, and two words of one pair of lines once in 10^10 pairs.
 """
@@ -33,8 +39,13 @@ CELLS = 1 << 18
 BITS = 44
 #: 64-bit words of the bitmaps that candidates are tested by before their sets are moved.
 WORDS = 8
-#: Rows (8 bytes each) up to which the sets of the candidates are broadcast; counted first.
+#: Rows (8 to 24 bytes each) up to which ids of sets are broadcast; counted first.
 ID_ROWS = 1_000_000
+#: Sets of NEAR_SIZE tokens and more that share a key (two neighbours of their three smallest or largest tokens) have a pivot, if they
+#: are NEAR_GROUP or more: smaller groups have few pairs, and in smaller sets hardly any pair is settled by distances.
+NEAR_SIZE, NEAR_GROUP = 18, 16
+#: 64-bit words of the bitmaps that sets with a pivot have in the join.
+NEAR_WORDS = 4
 
 
 def _hashes(*cols) -> list[F.Column]:
@@ -54,14 +65,14 @@ def places(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(uid, h, g, tokens, sh, sg), one row per different line with words: tokens as sorted hashes,
-    and the hashes of the line and of its tokens."""
+    """(uid, h, g, k, tokens, sh, sg), one row per different line with words: how often it comes, tokens as
+    sorted hashes, and the hashes of the line and of its tokens."""
     token = lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - BITS)
     t = _split(docs, text).groupBy("t").agg(F.count("*").alias("k"))
     words = F.when(F.col("t").rlike(r"[\x09\x0B-\x0D]"), F.split("t", f"[{SPACE}]+")).otherwise(F.split("t", " "))
-    t = t.select(*_hashes("t"), F.sort_array(F.array_remove(F.array_distinct(F.transform(words, token)), token(F.lit("")))).alias("tokens"))
+    t = t.select("k", *_hashes("t"), F.sort_array(F.array_remove(F.array_distinct(F.transform(words, token)), token(F.lit("")))).alias("tokens"))
     sh, sg = _hashes("tokens")
-    return t.select(F.monotonically_increasing_id().alias("uid"), "h", "g", "tokens", sh.alias("sh"), sg.alias("sg"))
+    return t.select(F.monotonically_increasing_id().alias("uid"), "h", "g", "k", "tokens", sh.alias("sh"), sg.alias("sg"))
 
 
 def _rarity(sets: DataFrame) -> bytes:
@@ -75,8 +86,9 @@ def _rarity(sets: DataFrame) -> bytes:
 
 def _ordered(rarity: bytes) -> F.Column:
     """The tokens as integers that sort by rarity: its byte, then the hash."""
-    rank = lambda t: F.ascii(F.substring(F.lit(rarity), t.bitwiseAND(F.lit(CELLS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-    whole = lambda t: F.shiftleft(rank(t).cast("long"), BITS).bitwiseOR(t)
+    table = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<long>")  # folded to a literal
+    rank = lambda t: F.get(table, t.bitwiseAND(F.lit(CELLS - 1)).cast("int"))
+    whole = lambda t: F.shiftleft(rank(t), BITS).bitwiseOR(t)
     return F.sort_array(F.transform("tokens", lambda t: F.coalesce(whole(t), F.lit(0).cast("long"))))
 
 
@@ -85,6 +97,46 @@ def need(a: str, b: str) -> str:
     return f"cast(({NUM} * ({a} + {b}) + {NUM + DEN - 1}) div {NUM + DEN} as int)"
 
 
+def slack(a: str, b: str) -> str:
+    """Tokens that one of two sets of a and b tokens has alone, at most, when they match; they do match then."""
+    return f"({a} + {b} - 2 * {need(a, b)})"
+
+
+def near_groups(sets: DataFrame) -> DataFrame:
+    """(uid, pivot, n, d, q0, q1, ...): sets (uid, k, tokens) that match their pivot or nearly, their size, the tokens in
+    which the two differ, and the parities of the tokens in 64 * NEAR_WORDS cells; written. The pivot is the commonest
+    line (by k) of those that share a key; of several, that of the key which most sets have."""
+    keys = [f"xxhash64(slice(tokens, {at}, 2))" for at in (1, 2, -2, -3)]  # a token more or less at an end moves these by one
+    own = sets.where(F.size("tokens") >= NEAR_SIZE).select("uid", "k", F.size("tokens").alias("n"), F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
+    top = own.groupBy("key").agg(F.max_by("uid", "k").alias("pivot"), F.max_by("n", "k").alias("np"), F.count("*").alias("c")).where(f"c >= {NEAR_GROUP}")
+    top = written(top, "pivots")
+    ids = own.join(small(top, ID_ROWS), "key").where(f"abs(n - np) <= 2 * {slack('n', 'np')}").groupBy("uid", "pivot").agg(F.max("c").alias("c"))
+    ids = written(ids, "members")
+    pivots = written(sets.join(small(top.select(F.col("pivot").alias("uid")).distinct(), ID_ROWS), "uid", "left_semi").select(F.col("uid").alias("pivot"), F.col("tokens").alias("t")), "pivots")
+    n = F.size("tokens")
+    met = sets.select("uid", "tokens").join(small(ids, ID_ROWS), "uid").join(small(pivots), "pivot")
+    met = met.select("uid", "pivot", "c", "tokens", n.alias("n"), F.size("t").alias("np"), (n + F.size("t") - 2 * F.size(F.array_intersect("tokens", "t"))).alias("d"))
+    met = written(met.where(f"d <= 2 * {slack('n', 'np')}").drop("np"), "met")
+    best = met.groupBy("uid").agg(F.max_by("pivot", "c").alias("pivot"))
+    word = lambda t: F.shiftright(t, 26).bitwiseAND(F.lit(NEAR_WORDS - 1))
+    part = lambda k: F.aggregate(F.filter("tokens", lambda t: word(t) == k), F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(_bit(t)))
+    maps = [part(k).alias(f"q{k}") for k in range(NEAR_WORDS)]
+    return written(met.join(small(best, ID_ROWS), ["uid", "pivot"]).select("uid", "pivot", "n", "d", *maps), "groups")
+
+
+def certain(groups: DataFrame, first: DataFrame) -> DataFrame:
+    """(a, other, n): for each set of groups the number of sets that match it by their distances to the pivot, and the
+    first place of those (its own among them, perhaps)."""
+    all_ = groups.join(first, groups.uid == first.sid).groupBy("pivot", "n", "d").agg(F.count("*").alias("c"), F.min("first").alias("first"))
+    all_ = written(all_, "rings")
+    side = lambda k: all_.select("pivot", *[F.col(c).alias(f"{c}{k}") for c in ("n", "d", "c", "first")])
+    met = side("a").join(side("b"), "pivot").where(f"da + db <= {slack('na', 'nb')}")
+    met = met.groupBy("pivot", F.col("na").alias("n"), F.col("da").alias("d")).agg(F.min("firstb").alias("other"), F.sum("cb").alias("c"))
+    own = F.expr(f"case when 2 * d <= {slack('n', 'n')} then 1L else 0L end")
+    met = met.select("pivot", "n", "d", "other", (F.col("c") - own).alias("links"))
+    return groups.join(met, ["pivot", "n", "d"]).select(F.col("uid").alias("a"), "other", F.col("links").alias("n"))
+
+
 def _bit(t: F.Column) -> F.Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 20).bitwiseAND(F.lit(63)).cast("int"))
 
@@ -96,33 +148,40 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
     return t.groupBy("uid", "n").agg(*[F.bit_xor(F.when(word == k, _bit(F.col("t"))).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)])
 
 
+def with_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(uid, tokens, g): g has what near_groups() knows of the set; null takes less room in the join than its columns."""
+    g = F.struct("pivot", "d", *[f"q{k}" for k in range(NEAR_WORDS)]).alias("g")
+    return sets.select("uid", "tokens").join(small(groups.select("uid", g), ID_ROWS), "uid", "left")
+
+
 def _entries(sets: DataFrame, rarity: bytes) -> DataFrame:
-    """(o, uid, n, i, p, v): a set's first tokens, with its size, the place i, a bitmap of 64 bits, and the
-    token before (-1: none)."""
+    """(o, uid, n, i, p, v, g): a set's first tokens, with its size, the place i, a bitmap of 64 bits, the
+    token before (-1: none), and the g of sets (uid, tokens, g)."""
     parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(_bit(t)))
-    t = sets.select("uid", F.size("tokens").alias("n"), parity.alias("p"), _ordered(rarity).alias("x"))
+    t = sets.select("uid", F.size("tokens").alias("n"), parity.alias("p"), _ordered(rarity).alias("x"), "g")
     prefix = f"slice(x, 1, cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + 1 as int))"
-    t = t.select("uid", "n", "p", "x", F.posexplode(F.expr(prefix)).alias("i", "o"))
+    t = t.select("uid", "n", "p", "x", "g", F.posexplode(F.expr(prefix)).alias("i", "o"))
     mask = (1 << BITS) - 1  # the rarity has done its work in the order
-    return t.select(F.expr(f"o & {mask}L").alias("o"), "uid", "n", "i", "p", F.expr(f"case when i = 0 then -1L else x[i - 1] & {mask}L end").alias("v"))
+    return t.select(F.expr(f"o & {mask}L").alias("o"), "uid", "n", "i", "p", F.expr(f"case when i = 0 then -1L else x[i - 1] & {mask}L end").alias("v"), "g")
 
 
 def _candidates(sets: DataFrame, rarity: bytes) -> DataFrame:
-    """(a, b): uids of sets, a the larger (of equal size, the later), that pass the filters."""
+    """(a, b): uids of sets, a the larger (of equal size, the later), that pass the filters and are not certain()."""
     entries = _entries(sets, rarity)
-    side = lambda k: entries.select("o", *[F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "i", "p", "v")])
+    side = lambda k: entries.select("o", *[F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "i", "p", "v", "g")])
     # The positional filter has the shorter prefix in it: put on one side alone it would be pushed down,
     # and the two sides would no longer share one exchange.
+    differ = " + ".join(f"bit_count(ga.q{k} ^ gb.q{k})" for k in range(NEAR_WORDS))
     near = side("a").join(side("b"), "o").where(
         f"(nb < na or nb = na and uidb < uida) and {DEN} * nb >= {NUM} * na and (va <> vb or ia = 0 or ib = 0) and least(na - ia, nb - ib) >= {need('na', 'nb')}"
-        f" and bit_count(pa ^ pb) <= na + nb - 2 * {need('na', 'nb')}"
+        f" and bit_count(pa ^ pb) <= {slack('na', 'nb')} and not coalesce(ga.pivot = gb.pivot and (ga.d + gb.d <= {slack('na', 'nb')} or {differ} > {slack('na', 'nb')}), false)"
     )
     return near.select(F.col("uida").alias("a"), F.col("uidb").alias("b")).distinct()
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b): all matching pairs of the sets (uid, tokens), each once; written."""
-    pairs = written(_candidates(sets, _rarity(sets)), "pairs")
+def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): all matching pairs of the sets (uid, tokens) but those that are certain() by groups, each once; written."""
+    pairs = written(_candidates(with_groups(sets, groups), _rarity(sets)), "pairs")
     release(sets.sparkSession)
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "ids")
     sets = written(sets.select("uid", "tokens").join(small(ids, ID_ROWS), "uid", "left_semi"), "sets")
@@ -153,16 +212,19 @@ def later_matches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     one text are one place: they don't remove each other's lines. An empty table gives an empty one."""
     sets = written(token_sets(docs, text), "lines")
     light = written(places(docs, text, key), "places")
-    # Different lines with the same tokens: the one with the lowest uid stands for them.
-    same = written(sets.groupBy("sh", "sg").agg(F.min("uid").alias("sid"), F.count("*").alias("k")), "same")
+    # Different lines with the same tokens: the commonest one stands for them.
+    same = written(sets.groupBy("sh", "sg").agg(F.max_by("uid", "k").alias("sid"), F.count("*").alias("k")), "same")
     again = same.where("k > 1").select("sh", "sg", "sid")
     more = written(sets.select("uid", "sh", "sg").join(small(again), ["sh", "sg"]).where("uid <> sid").select("uid"), "more")
-    both = links(sets.join(small(more), "uid", "left_anti").select("uid", "tokens"))
+    one = sets.join(small(more), "uid", "left_anti").select("uid", "tokens", "k")
+    groups = near_groups(one)
+    both = links(one, groups)
     both = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
     line = sets.select("uid", "h", "g", "sh", "sg").join(same.select("sh", "sg", "sid"), ["sh", "sg"]).select("h", "g", "sid")
     light = written(light.join(line, ["h", "g"]).select("z", "doc_id", "row", "line", "sid"), "placed")
     first = written(light.groupBy("sid").agg(F.min(F.struct("z", "doc_id", "row", "line")).alias("first")), "first")
-    other = both.join(first, both.b == first.sid).groupBy("a").agg(F.min("first").alias("other"), F.count("*").alias("n"))
+    other = both.join(first, both.b == first.sid).select("a", F.col("first").alias("other"), F.lit(1).cast("long").alias("n"))
+    other = other.unionByName(certain(groups, first)).groupBy("a").agg(F.min("other").alias("other"), F.sum("n").alias("n"))
     best = first.join(other, first.sid == other.a, "left")
     best = written(best.select("sid", "first", F.least("first", F.coalesce("other", "first")).alias("best"), F.coalesce("n", F.lit(0)).alias("n")), "best")
     at = light.join(best, "sid")

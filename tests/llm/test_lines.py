@@ -103,6 +103,39 @@ def test_a_group_of_near_copies(spark):
     same(spark, [(i, " ".join([*words[:i], f"own{i}", *words[i + 1 :]])) for i in range(25)])
 
 
+def near_lines(seed):
+    rng = random.Random(seed)
+    out = []
+    for size, n in ((40, 60), (19, 25), (60, 40)):
+        base = [f"b{size}x{k}" for k in range(size)]
+        for _ in range(n):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 1, 1, 2, 3, 5])):
+                own[rng.randrange(size)] = rng.choice(["the", "of", f"own{rng.randrange(10**6)}"])
+            out.append(" ".join(own[rng.choice([0, 0, 1]) :]))
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("group", [2, 16])
+def test_near_copies_by_distance_to_a_pivot(spark, monkeypatch, group):
+    monkeypatch.setattr(L, "NEAR_SIZE", 2 if group == 2 else L.NEAR_SIZE)
+    monkeypatch.setattr(L, "NEAR_GROUP", group)
+    same(spark, near_lines(1))
+    same(spark, [(i, " ".join(f"w{k}" for k in range(i, i + 24))) for i in range(40)])
+
+
+def test_pairs_of_a_large_group_are_not_made(spark):
+    """A few words changed in each of many copies of a line: nearly all pairs are links, few of them rows."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(0, " ".join(words)), (500, " ".join(words)), *((i, " ".join([*words[: i % 60], f"own{i}", *words[i % 60 + 1 :]])) for i in range(1, 200))]
+    found = {r["doc_id"]: r["n_links"] for r in L.later_matches(docs(spark, rows)).collect()}
+    assert set(found.values()) == {199}
+    sets = L.token_sets(docs(spark, rows)).cache()
+    groups = L.near_groups(sets)
+    assert L._candidates(L.with_groups(sets, groups), L._rarity(sets)).count() < 0.2 * 200 * 199 / 2
+
+
 def test_query(spark, tmp_path):
     docs(spark, [(1, "a\nb"), (2, None), (3, "b\nc")]).write.parquet(f"{tmp_path}/documents.parquet")
     assert got(op5_line_dedup(spark, str(tmp_path)), "doc_id", "n_lines", "n_removed", "removed", "n_links") == [(1, 2, 0, "", 0), (2, 0, 0, "", 0), (3, 2, 1, "0", 0)]
