@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import math
 import tempfile
 import time
 import uuid
@@ -32,9 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault("dir", tempfile.mkdtemp(prefix="sigmill-"))
 
 
-def written(df: DataFrame, hint: str = "t") -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back."""
+#: Rows of a file of a table whose size is known beforehand.
+FILE_ROWS = 10_000
+
+
+def written(df: DataFrame, hint: str = "t", rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write df to the shared folder and read it back.
+
+    rows: how many rows df has at most, where that is known. A small table then has few files, not one for each shuffle
+    partition: on a local file system Hadoop starts a chmod for each file, and until the new process runs it, the
+    executor's memory shows twice."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / FILE_ROWS)))
     path = f"{shared_dir(spark)}/sigmill/{hint}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -137,7 +148,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         step = large.join(low, "a")
         step = step.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        new = written(step.where("a <> b").distinct(), "cc")
+        new = written(step.where("a <> b").distinct(), "cc", 2 * now[0])
         discard(e)
         e = new
 
@@ -153,11 +164,12 @@ def keep_lowest(docs: DataFrame, rows: DataFrame, text: str, key: str) -> DataFr
     Rows are told apart by key and text, so that a null or repeated key takes no other text along."""
     found = rows.groupBy("root", "doc_id", "sha").agg(F.count("*").alias("n"))
     found = written(found.withColumn("at", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "sha")), "found")
-    best = written(found.groupBy("root").agg(F.min("at").alias("best")), "best")
-    found = written(found.join(best, "root").select("doc_id", "sha", "n", (F.col("at") == F.col("best")).alias("kept")), "kept")
+    size = found.count()
+    best = written(found.groupBy("root").agg(F.min("at").alias("best")), "best", size)
+    found = written(found.join(best, "root").select("doc_id", "sha", "n", (F.col("at") == F.col("best")).alias("kept")), "kept", size)
     k, h = fresh(docs, "_key", "_sha")
     own = docs.withColumn(k, F.col(key).cast("long")).withColumn(h, text_sha(text))
-    gone = small(written(found.where("not kept").select(F.col("doc_id").alias(k), F.col("sha").alias(h)), "gone"))
+    gone = small(written(found.where("not kept").select(F.col("doc_id").alias(k), F.col("sha").alias(h)), "gone", size))
     out = own.join(gone, own[k].eqNullSafe(gone[k]) & (own[h] == gone[h]), "left_anti")
     if found.where("kept and n > 1").limit(1).count():
         out = out.dropDuplicates([k, h])

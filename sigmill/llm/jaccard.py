@@ -187,7 +187,8 @@ def _matching(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame) -> DataFram
     side = lambda k: bitmaps.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("w").alias(f"w{k}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{_differ()} <= na + nb - 2 * {need('na', 'nb')}")
     pairs = written(pairs.select("a", "b"), "close")
-    ids = small(written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sids"))
+    size = pairs.count()
+    ids = small(written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sids", 2 * size))
     sets = sets.select("sid", "tokens").join(ids, "sid", "left_semi")
     found = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a")
     found = found.join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -221,9 +222,10 @@ def links(sets: DataFrame) -> DataFrame:
     release(sets.sparkSession)
     was = None
     some = last = False
+    size = bitmaps.count()
     for turn in count():
         roots = components(found).select(F.col("a").alias("sid"), F.col("b").alias("root")) if some or not turn else _stars(found)
-        star = written(roots, "star")
+        star = written(roots, "star", size)
         at = entries.join(small(star), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         at = written(at, "open")
         # Pairs of different components in each list, and the member that the others meet.
@@ -257,10 +259,11 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
     one text count as copies; an empty table stays empty."""
     with arrow_rows(docs.sparkSession, BATCH):
         rows = written(token_sets(docs, text, key, shingle), "rows")
-        ids = written(rows.groupBy("sid").count(), "sids")
-        again = small(written(ids.where("count > 1").select("sid"), "again"))
+        size = rows.count()
+        ids = written(rows.groupBy("sid").count(), "sids", size)
+        again = small(written(ids.where("count > 1").select("sid"), "again", size))
         one = rows.join(again, "sid", "left_anti").select("sid", "tokens", "fp")
         more = rows.join(again, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"), F.first("fp").alias("fp"))
-        star = written(components(links(one.union(more))).select(F.col("a").alias("sid"), F.col("b").alias("root")), "star")
+        star = written(components(links(one.union(more))).select(F.col("a").alias("sid"), F.col("b").alias("root")), "star", size)
         found = rows.join(small(star), "sid", "left").select(F.coalesce("root", "sid").alias("root"), "doc_id", "sha")
         return keep_lowest(docs, found, text, key)

@@ -49,7 +49,8 @@ def rates(docs: DataFrame, weights: tuple[float, ...] | DataFrame, share: float,
     else:
         place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row per source
         by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (place % len(weights) + 1).cast("int")))
-    by = written(by, "sources")
+    size = light.count()
+    by = written(by, "sources", size)
     by = targets(by, share * float(by.agg(F.sum("source_size")).first()[0] or 0), most)
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     by = by.withColumn("whole", F.floor(rate).cast("int")).withColumn("need", (rate - F.floor(rate)) * F.col("source_size"))
@@ -60,7 +61,7 @@ def rates(docs: DataFrame, weights: tuple[float, ...] | DataFrame, share: float,
     part = F.coalesce(F.try_divide(F.col("need") - F.col("below"), F.col("size")), F.lit(0.0))
     cut = cum.join(b, F.col("source").eqNullSafe(F.col("s"))).where("size > 0 and below < need").groupBy(F.col("s")).agg(F.max((F.col("cell") + F.least(part, F.lit(1.0))) / F.lit(float(CELLS))).alias("upto"))
     out = by.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "whole", F.coalesce("upto", F.lit(0.0)).alias("upto"))
-    return written(out, "rates")
+    return written(out, "rates", size)
 
 
 def mix_counts(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:

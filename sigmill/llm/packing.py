@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 LENGTH = 4096
 OPEN = 512
 #: Pieces that wait to be placed; the longest of them goes first.
@@ -296,6 +298,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
             yield from placed(0)
         finally:
             gc.enable()
-            pa.default_memory_pool().release_unused()
+            waiting.clear()
+            give_back()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)

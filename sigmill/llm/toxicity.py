@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,30 +73,42 @@ def train_nnpu(model: Model, positive: list, unlabelled: list, prior: float, ste
     with the logistic loss, by Adam over all vectors. Where the negative part falls below zero, the
     step goes against it instead (Kiryo et al. 2017)."""
     rows = positive + unlabelled
+    sizes = np.array([len(i) for i, _ in rows], np.int64)
+    flat = lambda at, kind: np.concatenate([np.zeros(0, kind), *(r[at] for r in rows)])
+    _train(model, flat(0, np.int64), flat(1, float), sizes, len(positive), prior, steps, rate, decay)
+
+
+def _train(model: Model, idx: np.ndarray, val: np.ndarray, sizes: np.ndarray, n_p: int, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> None:
+    """train_nnpu() on vectors laid end to end, of these sizes: n_p positive ones, then the unlabelled."""
+    n, k = len(sizes), len(model.weights)
+    n_u = n - n_p
     model.bias = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
+    if not n_p or not n_u:
         return
-    sizes = np.array([len(i) for i, _ in rows])
-    idx, val = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows])
-    row = np.repeat(np.arange(len(rows)), sizes)
-    is_p = np.arange(len(rows)) < len(positive)
-    n_p, n_u, k = len(positive), len(unlabelled), len(model.weights)
+    row = np.repeat(np.arange(n), sizes)
+    is_p = np.arange(n) < n_p
+    each = np.empty(len(val))  # the only further array of this length
+
+    def times_val(of: np.ndarray, at: np.ndarray) -> np.ndarray:
+        np.take(of, at, out=each, mode="clip")  # no index is clipped; other modes copy
+        return np.multiply(each, val, out=each)
+
     v = np.zeros(k + 1)
     v[k] = model.bias
     m1, m2 = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, steps + 1):
-        z = np.clip(np.bincount(row, weights=v[idx] * val, minlength=len(rows)) + v[k], -60, 60)
+        z = np.clip(np.bincount(row, weights=times_val(v, idx), minlength=n) + v[k], -60, 60)
         s = 1 / (1 + np.exp(-z))
         soft = np.logaddexp(0, z)  # loss of calling it negative
         negative = soft[~is_p].mean() - prior * soft[is_p].mean()
         g = np.where(is_p, -prior * s / n_p, s / n_u)
         g = g + np.where(is_p, prior * (s - 1) / n_p, 0.0) if negative >= 0 else -g
-        full = np.append(np.bincount(idx, weights=g[row] * val, minlength=k) + decay * v[:k], g.sum())
+        full = np.append(np.bincount(idx, weights=times_val(g, row), minlength=k) + decay * v[:k], g.sum())
         m1, m2 = 0.9 * m1 + 0.1 * full, 0.999 * m2 + 0.001 * full * full
         v -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
     # Where the sample is small, the correction moves the bias more than anything else: it is set last,
     # so that the unlabelled vectors' mean score is the class prior.
-    z = np.bincount(row, weights=v[idx] * val, minlength=len(rows))[~is_p]
+    z = np.bincount(row, weights=times_val(v, idx), minlength=n)[~is_p]
     low, high = -60.0, 60.0
     for _ in range(60):
         mid = (low + high) / 2
@@ -161,12 +174,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             found = [model.vector(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([i for i, _ in found], pa.list_(pa.int64())), pa.array([v for _, v in found], pa.list_(pa.float64()))], ["doc_id", "p", "i", "v"])
 
-    t = sample.mapInArrow(run, "doc_id long, p int, i array<long>, v array<double>").toArrow().sort_by([("p", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-    found, values = t["i"].combine_chunks(), t["v"].combine_chunks()
-    idx, val, ends = found.values.to_numpy(), values.values.to_numpy(), found.offsets.to_numpy()
-    vectors = [(p, (idx[a:b], val[a:b])) for p, a, b in zip(t["p"].to_pylist(), ends[:-1], ends[1:], strict=True)]
+    t = sample.mapInArrow(run, "doc_id long, p int, i array<long>, v array<double>").toArrow().sort_by([("p", "descending"), ("doc_id", "ascending")])
+    found = t["i"].combine_chunks()
+    idx, sizes = found.flatten().to_numpy(), np.diff(found.offsets.to_numpy())
+    val, n_p = t["v"].combine_chunks().flatten().to_numpy(), pc.sum(t["p"]).as_py()
+    del t, found  # the two arrays keep what they need
+    pa.default_memory_pool().release_unused()
     model.known = {}
-    train_nnpu(model, [x for p, x in vectors if p], [x for p, x in vectors if not p], prior)
+    _train(model, idx, val, sizes, n_p, prior)
     return model
 
 
@@ -181,6 +196,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-_logits(model, batch.column(1)))), pa.float64())], ["doc_id", "score"])
+        model.known.clear()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -201,5 +217,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_logits(model, batch.column(at)) < limit, pa.bool_()))
+        model.known.clear()
 
     return docs.mapInArrow(run, docs.schema)

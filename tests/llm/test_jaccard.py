@@ -102,3 +102,32 @@ def test_arrow_batches_are_as_before_afterwards(spark):
     was = spark.conf.get(name)
     J.near_dedup(docs(spark, [(1, "a b"), (2, "c d")]))
     assert spark.conf.get(name) == was
+
+
+def test_small_tables_have_few_files(spark, monkeypatch):
+    """Each file costs an executor a process; a table of a few rows is not split into one for each shuffle partition."""
+    from sigmill.llm import common
+
+    files, real = {}, common.written
+
+    def counted(df, hint="t", *size):
+        out = real(df, hint, *size)
+        files.setdefault(hint, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    monkeypatch.setattr(J, "written", counted)
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    rng = random.Random(5)
+    base = [prose(rng, 60) for _ in range(40)]
+    rows = [(i, base[i % 40] + (" one" if i % 3 else "")) for i in range(160)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert got(J.near_dedup(docs(spark, rows)), "doc_id") == slow_kept(rows)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {k: max(files[k]) for k in ("sids", "star", "best", "kept", "gone")} == dict.fromkeys(("sids", "star", "best", "kept", "gone"), 1), files
+    assert files["cc"][-1] == 1
