@@ -183,9 +183,9 @@ def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b): all matching pairs of the sets (uid, tokens) but those that are certain() by groups, each once; written."""
     pairs = written(_candidates(with_groups(sets, groups), _rarity(sets)), "pairs")
     release(sets.sparkSession)
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "ids")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "ids", 2 * pairs.count())
     sets = written(sets.select("uid", "tokens").join(small(ids, ID_ROWS), "uid", "left_semi"), "sets")
-    maps = written(_bitmaps(sets), "bitmaps")
+    maps = written(_bitmaps(sets), "bitmaps", ids.count())
     side = lambda k: maps.select(*[F.col(c).alias(f"{c}{k}") for c in maps.columns])
     differ = " + ".join(f"bit_count(w{k}a ^ w{k}b)" for k in range(WORDS))
     near = pairs.join(side("b"), F.col("b") == F.col("uidb")).join(side("a"), F.col("a") == F.col("uida"))
@@ -213,20 +213,20 @@ def later_matches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     sets = written(token_sets(docs, text), "lines")
     light = written(places(docs, text, key), "places")
     # Different lines with the same tokens: the commonest one stands for them.
-    same = written(sets.groupBy("sh", "sg").agg(F.max_by("uid", "k").alias("sid"), F.count("*").alias("k")), "same")
+    same = written(sets.groupBy("sh", "sg").agg(F.max_by("uid", "k").alias("sid"), F.count("*").alias("k")), "same", sets.count())
     again = same.where("k > 1").select("sh", "sg", "sid")
-    more = written(sets.select("uid", "sh", "sg").join(small(again), ["sh", "sg"]).where("uid <> sid").select("uid"), "more")
+    more = written(sets.select("uid", "sh", "sg").join(small(again), ["sh", "sg"]).where("uid <> sid").select("uid"), "more", sets.count())
     one = sets.join(small(more), "uid", "left_anti").select("uid", "tokens", "k")
     groups = near_groups(one)
     both = links(one, groups)
     both = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
     line = sets.select("uid", "h", "g", "sh", "sg").join(same.select("sh", "sg", "sid"), ["sh", "sg"]).select("h", "g", "sid")
-    light = written(light.join(line, ["h", "g"]).select("z", "doc_id", "row", "line", "sid"), "placed")
-    first = written(light.groupBy("sid").agg(F.min(F.struct("z", "doc_id", "row", "line")).alias("first")), "first")
+    light = written(light.join(line, ["h", "g"]).select("z", "doc_id", "row", "line", "sid"), "placed", light.count())
+    first = written(light.groupBy("sid").agg(F.min(F.struct("z", "doc_id", "row", "line")).alias("first")), "first", same.count())
     other = both.join(first, both.b == first.sid).select("a", F.col("first").alias("other"), F.lit(1).cast("long").alias("n"))
     other = other.unionByName(certain(groups, first)).groupBy("a").agg(F.min("other").alias("other"), F.sum("n").alias("n"))
     best = first.join(other, first.sid == other.a, "left")
-    best = written(best.select("sid", "first", F.least("first", F.coalesce("other", "first")).alias("best"), F.coalesce("n", F.lit(0)).alias("n")), "best")
+    best = written(best.select("sid", "first", F.least("first", F.coalesce("other", "first")).alias("best"), F.coalesce("n", F.lit(0)).alias("n")), "best", first.count())
     at = light.join(best, "sid")
     gone = F.struct("z", "doc_id", "row", "line") > F.col("best")
     one = F.struct("line", gone.alias("gone"), "n", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("at"))

@@ -136,6 +136,29 @@ def test_pairs_of_a_large_group_are_not_made(spark):
     assert L._candidates(L.with_groups(sets, groups), L._rarity(sets)).count() < 0.2 * 200 * 199 / 2
 
 
+def test_tables_of_known_size_have_few_files(spark, monkeypatch):
+    """Each file costs an executor and the driver a process; few rows are not split into one for each shuffle partition."""
+    files, real = {}, L.written
+
+    def counted(df, hint="t", *size):
+        out = real(df, hint, *size)
+        files[hint] = max(files.get(hint, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(L, "written", counted)
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        same(spark, near_lines(2) + [(1000 + i, f"line {i}\nline  {i}") for i in range(40)])
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    few = ("same", "more", "placed", "first", "best", "ids", "bitmaps")
+    assert {k: files[k] for k in few} == dict.fromkeys(few, 1)
+
+
 def test_query(spark, tmp_path):
     docs(spark, [(1, "a\nb"), (2, None), (3, "b\nc")]).write.parquet(f"{tmp_path}/documents.parquet")
     assert got(op5_line_dedup(spark, str(tmp_path)), "doc_id", "n_lines", "n_removed", "removed", "n_links") == [(1, 2, 0, "", 0), (2, 0, 0, "", 0), (3, 2, 1, "0", 0)]
