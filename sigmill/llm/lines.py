@@ -39,6 +39,8 @@ CELLS = 1 << 18
 BITS = 44
 #: 64-bit words of the bitmaps that candidates are tested by before their sets are moved.
 WORDS = 8
+#: Sets of so many tokens and more have 128 bits in the join, others 64: those tell nothing of sets that may differ in 20 tokens.
+WIDE = 80
 #: Rows (8 to 24 bytes each) up to which ids of sets are broadcast; counted first.
 ID_ROWS = 1_000_000
 #: Sets of NEAR_SIZE tokens and more that share a key (two neighbours of their three smallest or largest tokens) have a pivot, if they
@@ -54,7 +56,7 @@ def _hashes(*cols) -> list[F.Column]:
 
 
 def _split(docs: DataFrame, text: str, *more) -> DataFrame:
-    return docs.select(*more, F.posexplode(F.split(F.col(text), "\n")).alias("line", "t")).where(F.col("t").rlike(f"[^{SPACE}]"))
+    return docs.select(*more, F.posexplode(F.split(F.col(text), "\n")).alias("line", "t")).where(F.ltrim("t", F.lit(" \t\n\x0b\f\r")) != "")
 
 
 def places(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -65,14 +67,18 @@ def places(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(uid, h, g, k, tokens, sh, sg), one row per different line with words: how often it comes, tokens as
-    sorted hashes, and the hashes of the line and of its tokens."""
+    """(uid, h, g, k, tokens, sh, sg, p, q), one row per different line with words: how often it comes, tokens as
+    sorted hashes, the hashes of the line and of its tokens, and the parities of the tokens in 64 cells: p of all,
+    q (0 in sets of less than WIDE) of half of them."""
     token = lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - BITS)
     t = _split(docs, text).groupBy("t").agg(F.count("*").alias("k"))
     words = F.when(F.col("t").rlike(r"[\x09\x0B-\x0D]"), F.split("t", f"[{SPACE}]+")).otherwise(F.split("t", " "))
     t = t.select("k", *_hashes("t"), F.sort_array(F.array_remove(F.array_distinct(F.transform(words, token)), token(F.lit("")))).alias("tokens"))
     sh, sg = _hashes("tokens")
-    return t.select(F.monotonically_increasing_id().alias("uid"), "h", "g", "k", "tokens", sh.alias("sh"), sg.alias("sg"))
+    parity = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(_bit(t)))
+    half = F.filter("tokens", lambda t: t.bitwiseAND(F.lit(1 << 26)) != 0)
+    q = F.when(F.size("tokens") < WIDE, F.lit(0).cast("long")).otherwise(parity(half))
+    return t.select(F.monotonically_increasing_id().alias("uid"), "h", "g", "k", "tokens", sh.alias("sh"), sg.alias("sg"), parity("tokens").alias("p"), q.alias("q"))
 
 
 def _rarity(sets: DataFrame) -> bytes:
@@ -102,17 +108,30 @@ def slack(a: str, b: str) -> str:
     return f"({a} + {b} - 2 * {need(a, b)})"
 
 
+def differ(a: str, b: str) -> str:
+    """Bits in which the parities n, p and q of two sets differ: as many tokens at least are in one of the two alone."""
+    p, q = f"(p{a} ^ p{b})", f"(q{a} ^ q{b})"
+    return f"if(least(n{a}, n{b}) >= {WIDE}, bit_count({p} ^ {q}) + bit_count({q}), bit_count({p}))"
+
+
 def near_groups(sets: DataFrame) -> DataFrame:
-    """(uid, pivot, n, d, q0, q1, ...): sets (uid, k, tokens) that match their pivot or nearly, their size, the tokens in
+    """(uid, pivot, n, d, q0, q1, ...): sets (uid, k, tokens, p, q) that match their pivot or nearly, their size, the tokens in
     which the two differ, and the parities of the tokens in 64 * NEAR_WORDS cells; written. The pivot is the commonest
-    line (by k) of those that share a key; of several, that of the key which most sets have."""
+    line (by k) of those that share a key; of several, that of the key which most sets have. Tokens are moved only of
+    sets that the parities leave, where NEAR_GROUP or more have one pivot."""
     keys = [f"xxhash64(slice(tokens, {at}, 2))" for at in (1, 2, -2, -3)]  # a token more or less at an end moves these by one
-    own = sets.where(F.size("tokens") >= NEAR_SIZE).select("uid", "k", F.size("tokens").alias("n"), F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
-    top = own.groupBy("key").agg(F.max_by("uid", "k").alias("pivot"), F.max_by("n", "k").alias("np"), F.count("*").alias("c")).where(f"c >= {NEAR_GROUP}")
-    top = written(top, "pivots")
-    ids = own.join(small(top, ID_ROWS), "key").where(f"abs(n - np) <= 2 * {slack('n', 'np')}").groupBy("uid", "pivot").agg(F.max("c").alias("c"))
-    ids = written(ids, "members")
-    pivots = written(sets.join(small(top.select(F.col("pivot").alias("uid")).distinct(), ID_ROWS), "uid", "left_semi").select(F.col("uid").alias("pivot"), F.col("tokens").alias("t")), "pivots")
+    of = F.explode(F.expr(f"array({', '.join(keys)})")).alias("key")
+    own = sets.where(F.size("tokens") >= NEAR_SIZE).select("uid", "k", F.size("tokens").alias("n"), "p", "q", of)
+    often = written(own.groupBy("key").agg(F.count("*").alias("c")).where(f"c >= {NEAR_GROUP}"), "keys")
+    own = own.join(small(often, ID_ROWS), "key")
+    top = [F.max_by(c, "k").alias(to) for c, to in (("uid", "pivot"), ("n", "n_"), ("p", "p_"), ("q", "q_"))]
+    top = written(own.groupBy("key").agg(*top), "pivots")
+    ids = own.withColumnsRenamed({c: f"{c}1" for c in ("n", "p", "q")}).join(small(top, ID_ROWS), "key")
+    ids = ids.where(f"abs(n1 - n_) <= 2 * {slack('n1', 'n_')} and {differ('1', '_')} <= 2 * {slack('n1', 'n_')}")
+    ids = written(ids.groupBy("uid", "pivot").agg(F.max("c").alias("c")), "members")
+    large = written(ids.groupBy("pivot").agg(F.count("*").alias("m")).where(f"m >= {NEAR_GROUP}").select("pivot"), "large")
+    ids = ids.join(small(large, ID_ROWS), "pivot")
+    pivots = written(sets.join(small(large.select(F.col("pivot").alias("uid")), ID_ROWS), "uid", "left_semi").select(F.col("uid").alias("pivot"), F.col("tokens").alias("t")), "pivots")
     n = F.size("tokens")
     met = sets.select("uid", "tokens").join(small(ids, ID_ROWS), "uid").join(small(pivots), "pivot")
     met = met.select("uid", "pivot", "c", "tokens", n.alias("n"), F.size("t").alias("np"), (n + F.size("t") - 2 * F.size(F.array_intersect("tokens", "t"))).alias("d"))
@@ -149,47 +168,46 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
 
 
 def with_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(uid, tokens, g): g has what near_groups() knows of the set; null takes less room in the join than its columns."""
+    """(uid, tokens, p, q, g): g has what near_groups() knows of the set; null takes less room in the join than its columns."""
     g = F.struct("pivot", "d", *[f"q{k}" for k in range(NEAR_WORDS)]).alias("g")
-    return sets.select("uid", "tokens").join(small(groups.select("uid", g), ID_ROWS), "uid", "left")
+    return sets.select("uid", "tokens", "p", "q").join(small(groups.select("uid", g), ID_ROWS), "uid", "left")
 
 
 def _entries(sets: DataFrame, rarity: bytes) -> DataFrame:
-    """(o, uid, n, i, p, v, g): a set's first tokens, with its size, the place i, a bitmap of 64 bits, the
-    token before (-1: none), and the g of sets (uid, tokens, g)."""
-    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(_bit(t)))
-    t = sets.select("uid", F.size("tokens").alias("n"), parity.alias("p"), _ordered(rarity).alias("x"), "g")
+    """(o, uid, n, i, p, q, v, g): a set's first tokens, with its size, the place i, its parities, the
+    token before (-1: none), and the g of sets (uid, tokens, p, q, g)."""
+    t = sets.select("uid", F.size("tokens").alias("n"), "p", "q", _ordered(rarity).alias("x"), "g")
     prefix = f"slice(x, 1, cast(n - ({NUM} * n + {DEN - 1}) div {DEN} + 1 as int))"
-    t = t.select("uid", "n", "p", "x", "g", F.posexplode(F.expr(prefix)).alias("i", "o"))
+    t = t.select("uid", "n", "p", "q", "x", "g", F.posexplode(F.expr(prefix)).alias("i", "o"))
     mask = (1 << BITS) - 1  # the rarity has done its work in the order
-    return t.select(F.expr(f"o & {mask}L").alias("o"), "uid", "n", "i", "p", F.expr(f"case when i = 0 then -1L else x[i - 1] & {mask}L end").alias("v"), "g")
+    return t.select(F.expr(f"o & {mask}L").alias("o"), "uid", "n", "i", "p", "q", F.expr(f"case when i = 0 then -1L else x[i - 1] & {mask}L end").alias("v"), "g")
 
 
 def _candidates(sets: DataFrame, rarity: bytes) -> DataFrame:
     """(a, b): uids of sets, a the larger (of equal size, the later), that pass the filters and are not certain()."""
     entries = _entries(sets, rarity)
-    side = lambda k: entries.select("o", *[F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "i", "p", "v", "g")])
+    side = lambda k: entries.select("o", *[F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "i", "p", "q", "v", "g")])
     # The positional filter has the shorter prefix in it: put on one side alone it would be pushed down,
     # and the two sides would no longer share one exchange.
-    differ = " + ".join(f"bit_count(ga.q{k} ^ gb.q{k})" for k in range(NEAR_WORDS))
+    apart = " + ".join(f"bit_count(ga.q{k} ^ gb.q{k})" for k in range(NEAR_WORDS))
     near = side("a").join(side("b"), "o").where(
         f"(nb < na or nb = na and uidb < uida) and {DEN} * nb >= {NUM} * na and (va <> vb or ia = 0 or ib = 0) and least(na - ia, nb - ib) >= {need('na', 'nb')}"
-        f" and bit_count(pa ^ pb) <= {slack('na', 'nb')} and not coalesce(ga.pivot = gb.pivot and (ga.d + gb.d <= {slack('na', 'nb')} or {differ} > {slack('na', 'nb')}), false)"
+        f" and {differ('a', 'b')} <= {slack('na', 'nb')} and not coalesce(ga.pivot = gb.pivot and (ga.d + gb.d <= {slack('na', 'nb')} or {apart} > {slack('na', 'nb')}), false)"
     )
     return near.select(F.col("uida").alias("a"), F.col("uidb").alias("b")).distinct()
 
 
 def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): all matching pairs of the sets (uid, tokens) but those that are certain() by groups, each once; written."""
+    """(a, b): all matching pairs of the sets (uid, tokens, p, q) but those that are certain() by groups, each once; written."""
     pairs = written(_candidates(with_groups(sets, groups), _rarity(sets)), "pairs")
     release(sets.sparkSession)
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "ids", 2 * pairs.count())
     sets = written(sets.select("uid", "tokens").join(small(ids, ID_ROWS), "uid", "left_semi"), "sets")
     maps = written(_bitmaps(sets), "bitmaps", ids.count())
     side = lambda k: maps.select(*[F.col(c).alias(f"{c}{k}") for c in maps.columns])
-    differ = " + ".join(f"bit_count(w{k}a ^ w{k}b)" for k in range(WORDS))
+    apart = " + ".join(f"bit_count(w{k}a ^ w{k}b)" for k in range(WORDS))
     near = pairs.join(side("b"), F.col("b") == F.col("uidb")).join(side("a"), F.col("a") == F.col("uida"))
-    near = written(near.where(f"{differ} <= na + nb - 2 * {need('na', 'nb')}").select("a", "b"), "near")
+    near = written(near.where(f"{apart} <= na + nb - 2 * {need('na', 'nb')}").select("a", "b"), "near")
     release(sets.sparkSession)
     own = lambda k: sets.select(F.col("uid").alias(k), F.col("tokens").alias(f"t{k}"))
     found = near.join(own("b"), "b").join(own("a"), "a")
@@ -212,17 +230,21 @@ def later_matches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     one text are one place: they don't remove each other's lines. An empty table gives an empty one."""
     sets = written(token_sets(docs, text), "lines")
     light = written(places(docs, text, key), "places")
-    # Different lines with the same tokens: the commonest one stands for them.
-    same = written(sets.groupBy("sh", "sg").agg(F.max_by("uid", "k").alias("sid"), F.count("*").alias("k")), "same", sets.count())
-    again = same.where("k > 1").select("sh", "sg", "sid")
-    more = written(sets.select("uid", "sh", "sg").join(small(again), ["sh", "sg"]).where("uid <> sid").select("uid"), "more", sets.count())
-    one = sets.join(small(more), "uid", "left_anti").select("uid", "tokens", "k")
+    # Different lines with the same tokens, which are few: the commonest one stands for them.
+    same = sets.groupBy("sh", "sg").agg(F.max_by("uid", "k").alias("sid"), F.count("*").alias("k")).where("k > 1")
+    same = written(same.select("sh", "sg", "sid"), "same", sets.count())
+    more = written(sets.select("uid", "sh", "sg").join(small(same), ["sh", "sg"]).where("uid <> sid").select("uid", "sid"), "more", sets.count())
+    line = sets.select("uid", "h", "g").join(small(more), "uid", "left").select("h", "g", F.coalesce("sid", "uid").alias("sid"))
+    at = light
+    light = written(light.join(line, ["h", "g"]).select("z", "doc_id", "row", "line", "sid"), "placed", light.count())
+    discard(at)
+    one = sets.join(small(more), "uid", "left_anti").select("uid", "tokens", "k", "p", "q")
     groups = near_groups(one)
+    release(docs.sparkSession)
     both = links(one, groups)
+    discard(sets)
     both = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    line = sets.select("uid", "h", "g", "sh", "sg").join(same.select("sh", "sg", "sid"), ["sh", "sg"]).select("h", "g", "sid")
-    light = written(light.join(line, ["h", "g"]).select("z", "doc_id", "row", "line", "sid"), "placed", light.count())
-    first = written(light.groupBy("sid").agg(F.min(F.struct("z", "doc_id", "row", "line")).alias("first")), "first", same.count())
+    first = written(light.groupBy("sid").agg(F.min(F.struct("z", "doc_id", "row", "line")).alias("first")), "first", light.count())
     other = both.join(first, both.b == first.sid).select("a", F.col("first").alias("other"), F.lit(1).cast("long").alias("n"))
     other = other.unionByName(certain(groups, first)).groupBy("a").agg(F.min("other").alias("other"), F.sum("n").alias("n"))
     best = first.join(other, first.sid == other.a, "left")

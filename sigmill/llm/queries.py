@@ -42,11 +42,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir)
-    found = lines.with_matches(docs, lines.later_matches(docs))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines")
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n = F.when(F.col("text").isNull(), 0).otherwise(ends + 1).cast("long")
+    found = lines.with_matches(docs.withColumn("n_lines", n), lines.later_matches(docs))  # counted first: no text goes through the join
     classes = "array_join(transform(classes, x -> concat(coalesce(cast(x.doc_id as string), ''), ':', x.line)), ',')"
     return found.select(
-        "doc_id", n, F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"),
+        "doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.expr(classes), F.lit("")).alias("classes"),
     )
 

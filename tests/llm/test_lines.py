@@ -159,6 +159,27 @@ def test_tables_of_known_size_have_few_files(spark, monkeypatch):
     assert {k: files[k] for k in few} == dict.fromkeys(few, 1)
 
 
+def test_long_lines_of_common_words(spark):
+    """Long lines share many words without being alike; they are not paired, and near copies about WIDE words are."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(700)]
+    long = [" ".join(rng.sample(words, 150)) for _ in range(150)]
+    sets = L.token_sets(docs(spark, list(enumerate(long)))).cache()
+    assert L._candidates(L.with_groups(sets, L.near_groups(sets)), L._rarity(sets)).count() < 50
+    base = rng.sample(words, L.WIDE + 4)
+    near = [" ".join(w for w in base if w not in rng.sample(base, rng.randint(0, 12))) for _ in range(12)]
+    same(spark, list(enumerate([*long[:20], *near])))
+
+
+def test_query_joins_no_texts(spark, tmp_path):
+    """Lines are counted before the join with what was found, so that no text is shuffled for it."""
+    docs(spark, [(1, "a\nb"), (2, None), (3, "b\nc\n"), (4, "")]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = op5_line_dedup(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not re.search(r"Project \[(?:[^\n]*, )?text#\d+(?:, [^\n]*)?\]", plan)
+    assert got(found, "doc_id", "n_lines") == [(1, 2), (2, 0), (3, 3), (4, 1)]
+
+
 def test_query(spark, tmp_path):
     docs(spark, [(1, "a\nb"), (2, None), (3, "b\nc")]).write.parquet(f"{tmp_path}/documents.parquet")
     assert got(op5_line_dedup(spark, str(tmp_path)), "doc_id", "n_lines", "n_removed", "removed", "n_links") == [(1, 2, 0, "", 0), (2, 0, 0, "", 0), (3, 2, 1, "0", 0)]
