@@ -17,7 +17,8 @@ All pairs of a group of near copies are links, so their number grows with the sq
 They are not made where distances settle them: sets with the same smallest or largest tokens are
 compared with the commonest of them, their pivot. Two that differ from it in da and db tokens differ from each other in
 da + db at most; where that is little enough they match, and what they add (a number of links, the
-first place) is summed over (pivot, size, distance) instead. All other pairs go through the join.
+first place) is summed over (pivot, size, distance) instead. Two sets of one pivot that distances leave open are decided
+in the join, by the tokens in which each differs from it. All other pairs go through the join and its filters.
 
 Tokens are hashes of BITS bits and sets go by 128 bits: among n lines about n^2 / 2^129 pairs of
 sets fall together by chance, and two words of one pair of lines once in 10^10 pairs.
@@ -46,8 +47,6 @@ ID_ROWS = 1_000_000
 #: Sets of NEAR_SIZE tokens and more that share a key (two neighbours of their three smallest or largest tokens) have a pivot, if they
 #: are NEAR_GROUP or more: smaller groups have few pairs, and in smaller sets hardly any pair is settled by distances.
 NEAR_SIZE, NEAR_GROUP = 18, 16
-#: 64-bit words of the bitmaps that sets with a pivot have in the join.
-NEAR_WORDS = 4
 
 
 def _hashes(*cols) -> list[F.Column]:
@@ -115,8 +114,8 @@ def differ(a: str, b: str) -> str:
 
 
 def near_groups(sets: DataFrame) -> DataFrame:
-    """(uid, pivot, n, d, q0, q1, ...): sets (uid, k, tokens, p, q) that match their pivot or nearly, their size, the tokens in
-    which the two differ, and the parities of the tokens in 64 * NEAR_WORDS cells; written. The pivot is the commonest
+    """(uid, pivot, n, d, x): sets (uid, k, tokens, p, q) that match their pivot or nearly, their size, and the number and
+    list of the tokens in which the two differ; written. The pivot is the commonest
     line (by k) of those that share a key; of several, that of the key which most sets have. Tokens are moved only of
     sets that the parities leave, where NEAR_GROUP or more have one pivot."""
     keys = [f"xxhash64(slice(tokens, {at}, 2))" for at in (1, 2, -2, -3)]  # a token more or less at an end moves these by one
@@ -132,15 +131,12 @@ def near_groups(sets: DataFrame) -> DataFrame:
     large = written(ids.groupBy("pivot").agg(F.count("*").alias("m")).where(f"m >= {NEAR_GROUP}").select("pivot"), "large")
     ids = ids.join(small(large, ID_ROWS), "pivot")
     pivots = written(sets.join(small(large.select(F.col("pivot").alias("uid")), ID_ROWS), "uid", "left_semi").select(F.col("uid").alias("pivot"), F.col("tokens").alias("t")), "pivots")
-    n = F.size("tokens")
+    n, x = F.size("tokens"), F.concat(F.array_except("tokens", "t"), F.array_except("t", "tokens"))
     met = sets.select("uid", "tokens").join(small(ids, ID_ROWS), "uid").join(small(pivots), "pivot")
-    met = met.select("uid", "pivot", "c", "tokens", n.alias("n"), F.size("t").alias("np"), (n + F.size("t") - 2 * F.size(F.array_intersect("tokens", "t"))).alias("d"))
-    met = written(met.where(f"d <= 2 * {slack('n', 'np')}").drop("np"), "met")
+    met = met.select("uid", "pivot", "c", n.alias("n"), F.size("t").alias("n_"), x.alias("x")).withColumn("d", F.size("x"))
+    met = written(met.where(f"d <= 2 * {slack('n', 'n_')}").drop("n_"), "met")
     best = met.groupBy("uid").agg(F.max_by("pivot", "c").alias("pivot"))
-    word = lambda t: F.shiftright(t, 26).bitwiseAND(F.lit(NEAR_WORDS - 1))
-    part = lambda k: F.aggregate(F.filter("tokens", lambda t: word(t) == k), F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(_bit(t)))
-    maps = [part(k).alias(f"q{k}") for k in range(NEAR_WORDS)]
-    return written(met.join(small(best, ID_ROWS), ["uid", "pivot"]).select("uid", "pivot", "n", "d", *maps), "groups")
+    return written(met.join(small(best, ID_ROWS), ["uid", "pivot"]).select("uid", "pivot", "n", "d", "x"), "groups")
 
 
 def certain(groups: DataFrame, first: DataFrame) -> DataFrame:
@@ -169,8 +165,8 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
 
 def with_groups(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """(uid, tokens, p, q, g): g has what near_groups() knows of the set; null takes less room in the join than its columns."""
-    g = F.struct("pivot", "d", *[f"q{k}" for k in range(NEAR_WORDS)]).alias("g")
-    return sets.select("uid", "tokens", "p", "q").join(small(groups.select("uid", g), ID_ROWS), "uid", "left")
+    g = F.struct("pivot", "d", "x").alias("g")
+    return sets.select("uid", "tokens", "p", "q").join(small(groups.select("uid", g)), "uid", "left")
 
 
 def _entries(sets: DataFrame, rarity: bytes) -> DataFrame:
@@ -184,23 +180,26 @@ def _entries(sets: DataFrame, rarity: bytes) -> DataFrame:
 
 
 def _candidates(sets: DataFrame, rarity: bytes) -> DataFrame:
-    """(a, b): uids of sets, a the larger (of equal size, the later), that pass the filters and are not certain()."""
+    """(a, b, sure): uids of sets, a the larger (of equal size, the later), that pass the filters and are not certain();
+    sure: they match, as the tokens in which the two differ from one pivot tell."""
     entries = _entries(sets, rarity)
     side = lambda k: entries.select("o", *[F.col(c).alias(f"{c}{k}") for c in ("uid", "n", "i", "p", "q", "v", "g")])
     # The positional filter has the shorter prefix in it: put on one side alone it would be pushed down,
     # and the two sides would no longer share one exchange.
-    apart = " + ".join(f"bit_count(ga.q{k} ^ gb.q{k})" for k in range(NEAR_WORDS))
+    # What two sets of one pivot differ in is what either differs from it in, less what both do: no false pairs there.
+    apart = "ga.d + gb.d - 2 * size(array_intersect(ga.x, gb.x))"
     near = side("a").join(side("b"), "o").where(
         f"(nb < na or nb = na and uidb < uida) and {DEN} * nb >= {NUM} * na and (va <> vb or ia = 0 or ib = 0) and least(na - ia, nb - ib) >= {need('na', 'nb')}"
         f" and {differ('a', 'b')} <= {slack('na', 'nb')} and not coalesce(ga.pivot = gb.pivot and (ga.d + gb.d <= {slack('na', 'nb')} or {apart} > {slack('na', 'nb')}), false)"
     )
-    return near.select(F.col("uida").alias("a"), F.col("uidb").alias("b")).distinct()
+    return near.select(F.col("uida").alias("a"), F.col("uidb").alias("b"), F.expr("coalesce(ga.pivot = gb.pivot, false)").alias("sure")).distinct()
 
 
 def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b): all matching pairs of the sets (uid, tokens, p, q) but those that are certain() by groups, each once; written."""
-    pairs = written(_candidates(with_groups(sets, groups), _rarity(sets)), "pairs")
+    all_ = written(_candidates(with_groups(sets, groups), _rarity(sets)), "pairs")
     release(sets.sparkSession)
+    pairs = all_.where("not sure").select("a", "b")
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "ids", 2 * pairs.count())
     sets = written(sets.select("uid", "tokens").join(small(ids, ID_ROWS), "uid", "left_semi"), "sets")
     maps = written(_bitmaps(sets), "bitmaps", ids.count())
@@ -211,8 +210,9 @@ def links(sets: DataFrame, groups: DataFrame) -> DataFrame:
     release(sets.sparkSession)
     own = lambda k: sets.select(F.col("uid").alias(k), F.col("tokens").alias(f"t{k}"))
     found = near.join(own("b"), "b").join(own("a"), "a")
-    found = written(found.where(f"size(array_intersect(ta, tb)) >= {need('size(ta)', 'size(tb)')}").select("a", "b"), "links")
-    for t in (pairs, ids, sets, maps, near):
+    found = found.where(f"size(array_intersect(ta, tb)) >= {need('size(ta)', 'size(tb)')}").select("a", "b")
+    found = written(found.union(all_.where("sure").select("a", "b")), "links")
+    for t in (all_, ids, sets, maps, near):
         discard(t)
     release(found.sparkSession)
     return found

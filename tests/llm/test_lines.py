@@ -136,6 +136,25 @@ def test_pairs_of_a_large_group_are_not_made(spark):
     assert L._candidates(L.with_groups(sets, groups), L._rarity(sets)).count() < 0.2 * 200 * 199 / 2
 
 
+def test_a_group_has_no_false_candidates(spark):
+    """Copies that differ from their pivot nearly by what is allowed: the join leaves those pairs of them that match."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(0, " ".join(words)), (500, " ".join(words))]
+    for i in range(1, 120):
+        own = list(words)
+        for k in rng.sample(range(60), 4):
+            own[k] = f"own{i}x{k}" if rng.random() < 0.5 else f"the{k}"
+        rows.append((i, " ".join(own)))
+    sets = L.token_sets(docs(spark, rows)).cache()
+    groups = L.near_groups(sets)
+    pairs = L._candidates(L.with_groups(sets, groups), L._rarity(sets)).collect()
+    tokens, pivot = {x["uid"]: set(x["tokens"]) for x in sets.collect()}, {x["uid"]: x["pivot"] for x in groups.collect()}
+    inside = [(tokens[a], tokens[b]) for a, b, _ in pairs if a in pivot and pivot[a] == pivot.get(b)]
+    assert len(inside) == sum(x["sure"] for x in pairs) > 100 and all(5 * len(a & b) >= 4 * len(a | b) for a, b in inside)
+    same(spark, rows)
+
+
 def test_tables_of_known_size_have_few_files(spark, monkeypatch):
     """Each file costs an executor and the driver a process; few rows are not split into one for each shuffle partition."""
     files, real = {}, L.written
